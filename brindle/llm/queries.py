@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, media, secrets, simhash, substring, suffix_dedup, token_counts
+from . import language, media, mixing, pieces, secrets, simhash, sketch, substring, suffix_dedup, token_counts
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_rates(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model")).drop("ids", "decoded")
+
+
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.document_fingerprints(documents(spark, sf_dir))
+
+
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_bytes(documents(spark, sf_dir)).drop("kept")
 
@@ -50,13 +62,16 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
+        op1_mixing,
         op2_suffix_array_dedup,
+        op3_sentencepiece,
         op4_secret_scans,
         op5_substring_dedup,
         op6_token_counts,
         op7_language_id,
         op8_media_columns,
         op9_simhash_near_dedup,
+        op10_document_fingerprints,
     )
 }
 ORACLES: dict[str, str] = {}
