@@ -56,6 +56,8 @@ class Transducer:
             cost = -model.get_score(i)
             self.ends[state] = (cost if cost < 1e8 else 0.0, i)
         self.fallback = 1.0 + max(-s for i in usable if (s := model.get_score(i)) > -1e8)
+        self.price = {x[1]: x[0] for x in self.ends if x}
+        self.spelled = {self.pieces[i]: c for i, c in self.price.items()}
         self.known: dict[str, list[int]] = {}
         self.parts = regex.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
