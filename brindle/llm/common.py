@@ -96,10 +96,21 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """The rows written as Parquet in the shared folder and read again: it cuts lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """rows joined with facts, of which each key has one row. Keys of more than one row in 256 are at most 255: a broadcast
+    of proven size keeps their rows in place."""
+    counted = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = rows.count()
+    hot = facts.join(F.broadcast(counted.where(F.col("n") * 256 > total).select(key)), key, "left_semi")
+    hot = written(hot, "hot")
+    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts, key)
+    return rows.join(F.broadcast(hot), key).unionByName(others)
+
+
 def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of values[at[i]:at[i + 1]], of which some may be empty."""
     total = np.concatenate(([0], np.cumsum(values)))

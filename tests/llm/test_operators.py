@@ -189,3 +189,15 @@ def test_mixing_odd_rows(spark, docs):
 @pytest.mark.parametrize("run", [substring.dedup_substrings, suffix_dedup.dedup_bytes, simhash.near_duplicates, simhash.keep_one, secrets.scan_secrets, secrets.redact_secrets, media.media_columns, sketch.document_fingerprints, lambda d: language.identify(d, language.learn(d)), lambda d: language.keep_identified(d, language.learn(d)), lambda d: token_counts.token_counts(d, tokenizer("byte_bpe_50k.json")), lambda d: pieces.encode(d, tokenizer("piece_bpe_32k.model")), lambda d: mixing.mixed_rates(d, d.selectExpr("doc_id", "1 quality", "0 toxic"))])
 def test_empty_table(docs, run):
     assert run(docs.where("false")).count() == 0
+
+
+def test_media_store_holds_each_chunk_and_file_once(spark, docs, rows):
+    store, homes, owners, name = media.chunk_store(docs.repartition(3))
+    kept, files = [], []
+    for r in store.collect():
+        kept += media.unpacked(r.blob, r.held, r.lens, set(r.gone)).items()
+        files += [f.sha for f in r.files]
+    assert len({n for n, _ in kept}) == len(kept) and all(hashlib.sha256(x).digest() == n for n, x in kept)
+    assert sorted(files) == sorted({hashlib.sha256(media.wav(media.payload(t))).digest() for _, t in rows})
+    assert homes.count() and owners.count() == len(rows) and media.rebuilt(store, homes).count() == len(files)
+    spark.sql(f"drop table {name}")
