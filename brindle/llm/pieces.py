@@ -17,8 +17,14 @@ further columns are ignored by encode; U+2581 in a text is read as a space, as t
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
+from math import inf
+from operator import itemgetter
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,10 +32,26 @@ from pyspark.sql import DataFrame
 from .common import ids_and_texts, map_texts
 
 SPACE = "▁"
-CACHE, LONG = 200_000, 64
+CACHE, LONG = 400_000, 64
 SCHEMA = "doc_id long, n_pieces long, n_bytes_pieces long, ids array<int>, ids_sha256 string, decoded string, round_trip boolean"
 
 
+class Paths(dict):
+    """Shortest paths of parts met before; those of long parts are not kept, and all are forgotten when there are CACHE."""
+
+    def __init__(self, find: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        ids = self.find(part)
+        if len(part) <= LONG:
+            if len(self) >= CACHE:
+                self.clear()
+            self[part] = ids
+        return ids
+
+
 class Transducer:
     def __init__(self, path: str):
         import sentencepiece
@@ -41,62 +63,54 @@ class Transducer:
         usable = [i for i in range(len(model)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         if any(SPACE in p.lstrip(SPACE) for p in map(self.pieces.__getitem__, usable)):
             raise ValueError("a piece goes on after a space; texts cannot be parted before spaces")
-        # states of the trie: next state by letter, with the piece that ends there
-        self.arcs: list[dict[str, int]] = [{}]
-        self.ends: list[tuple[float, int] | None] = [None]
+        # every arc of pieces, found in one pass over a text: its length, cost and ids
+        self.automaton = ahocorasick.Automaton()
+        self.price, self.spelled = {}, {}
         for i in usable:
-            state = 0
-            for c in self.pieces[i]:
-                if c not in self.arcs[state]:
-                    self.arcs[state][c] = len(self.arcs)
-                    self.arcs.append({})
-                    self.ends.append(None)
-                state = self.arcs[state][c]
             # scores at the floor mark runs of spaces that merging alone reaches; they cost what their length is worth
             cost = -model.get_score(i)
-            self.ends[state] = (cost if cost < 1e8 else 0.0, i)
+            self.price[i] = self.spelled[self.pieces[i]] = cost if cost < 1e8 else 0.0
+            self.automaton.add_word(self.pieces[i], (len(self.pieces[i]), self.price[i], (i,)))
+        self.automaton.make_automaton()
+        # a letter that is a piece costs less than its bytes
+        self.letters = frozenset(x for x in self.spelled if len(x) == 1)
         self.fallback = 1.0 + max(-s for i in usable if (s := model.get_score(i)) > -1e8)
-        self.price = {x[1]: x[0] for x in self.ends if x}
-        self.spelled = {self.pieces[i]: c for i, c in self.price.items()}
-        self.known: dict[str, list[int]] = {}
+        self.known = Paths(self.shortest)
+        # by id: the bytes it stands for, its number in decimal and whether it is a byte's
+        self.raw = [bytes([self.of_byte[i]]) if i in self.of_byte else p.encode() for i, p in enumerate(self.pieces)]
+        self.decimal = [str(i) for i in range(len(self.pieces))]
+        self.is_byte = np.array([i in self.of_byte for i in range(len(self.pieces))])
         self.parts = regex.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
     def normal(self, text: str) -> str:
         return SPACE + text.replace(" ", SPACE) if text else ""
 
-    def shortest(self, part: str) -> list[int]:
-        n = len(part)
-        cost, back = [0.0] + [float("inf")] * n, [(0, ())] * (n + 1)
-        for at in range(n):
-            here, state, end = cost[at], 0, at
-            while end < n and (state := self.arcs[state].get(part[end], -1)) >= 0:
-                end += 1
-                if (found := self.ends[state]) and here + found[0] < cost[end]:
-                    cost[end], back[end] = here + found[0], (at, (found[1],))
-            raw = part[at].encode()
-            if here + self.fallback * len(raw) < cost[at + 1]:
-                cost[at + 1], back[at + 1] = here + self.fallback * len(raw), (at, tuple(self.bytes[b] for b in raw))
+    def by_bytes(self, letter: str) -> tuple[int, float, tuple[int, ...]]:
+        raw = letter.encode()
+        return 1, self.fallback * len(raw), tuple(self.bytes[b] for b in raw)
+
+    def shortest(self, part: str) -> tuple[int, ...]:
+        n, arcs = len(part), self.automaton.iter(part)
+        if not self.letters.issuperset(part):
+            arcs = sorted([*arcs, *((k, self.by_bytes(c)) for k, c in enumerate(part) if c not in self.letters)], key=itemgetter(0))
+        cost, back = [0.0] + [inf] * n, [(0, ())] * (n + 1)
+        # arcs come by where they end, the longest first
+        for end, (length, price, ids) in arcs:
+            end += 1
+            if (total := cost[end - length] + price) < cost[end]:
+                cost[end], back[end] = total, (length, ids)
         out: list[tuple[int, ...]] = []
         while n:
-            n, ids = back[n]
+            length, ids = back[n]
+            n -= length
             out.append(ids)
-        return [i for ids in reversed(out) for i in ids]
+        return tuple(chain.from_iterable(reversed(out)))
 
     def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
-        for part in self.parts(self.normal(text or "")):
-            ids = self.known.get(part)
-            if ids is None:
-                ids = self.shortest(part)
-                if len(part) <= LONG:
-                    if len(self.known) >= CACHE:
-                        self.known.clear()
-                    self.known[part] = ids
-            out += ids
-        return out
+        return list(chain.from_iterable(map(self.known.__getitem__, self.parts(self.normal(text or "")))))
 
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join(bytes([self.of_byte[i]]) if i in self.of_byte else self.pieces[i].encode() for i in ids)
+        raw = b"".join(map(self.raw.__getitem__, ids))
         return raw.decode(errors="replace").replace(SPACE, " ")[1:]
 
 
@@ -113,9 +127,9 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
         out = [[] for _ in range(6)]
         for text in batch.column(1).to_pylist():
             ids = fst.encode(text)
-            back = fst.decode(ids)
+            places, back = np.array(ids, np.int32), fst.decode(ids)
             same = back == (text or "").replace(SPACE, " ")
-            for column, value in zip(out, (len(ids), sum(i in fst.of_byte for i in ids), ids, hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), back, same), strict=True):
+            for column, value in zip(out, (len(ids), int(np.count_nonzero(fst.is_byte[places])), places, hashlib.sha256(",".join(map(fst.decimal.__getitem__, ids)).encode()).hexdigest(), back, same), strict=True):
                 column.append(value)
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.bool_()]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=["doc_id", "n_pieces", "n_bytes_pieces", "ids", "ids_sha256", "decoded", "round_trip"])
