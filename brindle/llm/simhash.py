@@ -136,6 +136,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, of which one of each near-duplicate group stays: the one with the least doc_id."""
+    """The rows of docs, all columns, of which one of each near-duplicate group stays: the one with the least doc_id.
+    Rows without an id cannot be told by it: of those one of each text stays."""
     keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
+    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(nameless)
