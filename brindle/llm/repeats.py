@@ -5,7 +5,10 @@ windows that pick one place form a phrase, which overlaps its neighbours so that
 phrase. Equal windows lie at equal places of phrases with equal anchors, hence
 1. phrases are digested and equal phrases are joined to one dictionary entry by groupBy (pre-aggregated, so a hot
    passage is one row per map task);
-2. only entries whose anchor occurs in another entry have their windows compared, once per entry and not per copy;
+2. only entries whose anchor occurs in another entry have their windows compared, once per entry and not per copy, in
+   blocks of `block` windows by their distance from the anchor. All windows of a block hold its core; its span holds them
+   all. An unshared core means that none is repeated, a shared span that all are; only the windows of blocks whose core
+   is shared by an entry that its span does not settle, the ends of repeats, are compared one by one;
 3. the windows found are dealt back to the entries' occurrences and from there to documents.
 No pairs of documents or entries are ever made. Windows are compared by 64-bit digests.
 """
@@ -88,7 +91,7 @@ def word_units(raw: np.ndarray, at: np.ndarray):
 
 
 def phrases(units: np.ndarray, width: int, gram: int):
-    """First and last window start, anchor digest and phrase digest of each phrase of one text, and its digests."""
+    """First and last window start, anchor digest, phrase digest and anchor place of each phrase of one text."""
     n = len(units)
     if n < width:
         return None
@@ -102,14 +105,27 @@ def phrases(units: np.ndarray, width: int, gram: int):
     last = np.append(first[1:], len(place)) - 1
     picked = place[first]
     shape = ((picked - first).astype(np.uint64) << np.uint64(32)) | (last - first).astype(np.uint64)
-    return first, last, grams[picked], mixed(d.runs(first, last + width) ^ mixed(shape + np.uint64(1))), d
+    return first, last, grams[picked], mixed(d.runs(first, last + width) ^ mixed(shape + np.uint64(1))), picked
+
+
+def blocks_of(d: Digests, n: int, first: int, last: int, place: int, width: int, block: int) -> tuple[np.ndarray, ...]:
+    """The blocks of a phrase of a text of n units: first and last window start, digests of core and span (zero where the
+    text ends before it does). The digests tell blocks of unequal distance from the anchor apart."""
+    k = np.arange((place - last) // block, (place - first) // block + 1)
+    end = place - k * block
+    start = end - block + 1
+    key = mixed(k.astype(np.uint64) + np.uint64(1))
+    core = mixed(d.runs(end, start + width) ^ key)
+    whole = (start >= 0) & (end + width <= n)
+    span = np.where(whole, mixed(d.runs(np.where(whole, start, 0), np.where(whole, end + width, 0)) ^ key), np.uint64(0))
+    return np.maximum(start, first), np.minimum(end, last), core, span
 
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def window_repeats(docs: DataFrame, units: Callable, width: int, gram: int, earlier: bool) -> DataFrame:
+def window_repeats(docs: DataFrame, units: Callable, width: int, gram: int, block: int, earlier: bool) -> DataFrame:
     """key, text, doc_id and `runs`: window starts [first, last] that are repeated. earlier: only if a smaller doc_id has
     the window (a null id is smaller than none and none is smaller than it); else if it starts anywhere else."""
     rows = ids_and_texts(docs).withColumn("key", row_key())
@@ -122,20 +138,20 @@ def window_repeats(docs: DataFrame, units: Callable, width: int, gram: int, earl
         for key, doc, u in zip(keys, ids, units(*ragged(batch)), strict=True):
             if (p := phrases(u, width, gram)) is not None:
                 n = len(p[0])
-                parts.append((np.full(n, key, np.int64), np.full(n, no_id if doc is None else doc, np.int64), *p[:4]))
-        cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2
-        return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3]), signed(cols[4]), signed(cols[5])], names=["key", "id", "first", "last", "anchor", "entry"])
+                parts.append((np.full(n, key, np.int64), np.full(n, no_id if doc is None else doc, np.int64), *p))
+        cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3]), signed(cols[4]), signed(cols[5]), pa.array(cols[6] - cols[2])], names=["key", "id", "first", "last", "anchor", "entry", "place"])
 
-    found = written(map_texts(keyed, find, "key long, id long, first long, last long, anchor long, entry long"), "phrases")
-    entries = found.groupBy("entry", "anchor").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"), F.min(F.struct("key", "first", "last")).alias("at"))
+    found = written(map_texts(keyed, find, "key long, id long, first long, last long, anchor long, entry long, place long"), "phrases")
+    entries = found.groupBy("entry", "anchor").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"), F.min(F.struct("key", "first", "last", "place")).alias("at"))
     entries = written(entries, "entries")
     shared = entries.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor")
     # entries of one anchor are distinct texts, so this join has one row on the right for each and any number on the left
     compared = entries.join(shared, "anchor", "left_semi").select("entry", "n", "least", "at.*")
-    asked = compared.groupBy("key").agg(F.collect_list(F.struct("entry", "n", "least", "first", "last")).alias("asked"))
+    asked = compared.groupBy("key").agg(F.collect_list(F.struct("entry", "n", "least", "first", "last", "place")).alias("asked"))
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [[], [], [], [], []]
+        facts, cores, spans, windows, ends = [], [], [], [], [0]
         done = set()
         for u, wanted, key in zip(units(*ragged(batch)), batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True):
             if key in done:
@@ -143,27 +159,46 @@ def window_repeats(docs: DataFrame, units: Callable, width: int, gram: int, earl
             done.add(key)
             d = Digests(u)
             for w in wanted:
-                at = np.arange(w["first"], w["last"] + 1)
-                out[0].append(d.runs(at, at + width))
-                out[1].append(np.full(len(at), w["entry"]))
-                out[2].append(at - w["first"])
-                out[3].append(np.full(len(at), w["n"]))
-                out[4].append(np.full(len(at), w["least"]))
-        cols = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in out]
-        return pa.RecordBatch.from_arrays([signed(cols[0]), *(pa.array(x.astype(np.int64)) for x in cols[1:])], names=["window", "entry", "offset", "n", "least"])
-
-    windows = written(map_texts(keyed.join(asked, "key").select("doc_id", "text", "key", "asked"), compare, "window long, entry long, offset long, n long, least long"), "windows")
+                start, end, core, span = blocks_of(d, len(u), w["first"], w["last"], w["first"] + w["place"], width, block)
+                at = np.arange(start[-1], end[0] + 1)
+                found = d.runs(at, at + width)
+                cores.append(core)
+                spans.append(span)
+                for a, b in zip((start - start[-1]).tolist(), (end - start[-1] + 1).tolist(), strict=True):
+                    facts.append((w["entry"], w["n"], w["least"], a))
+                    windows.append(found[a:b])
+                    ends.append(ends[-1] + b - a)
+        columns = np.ascontiguousarray(np.array(facts, np.int64).reshape(-1, 4).T)
+        none = [np.zeros(0, np.uint64)]
+        core, span = np.concatenate(cores or none), np.concatenate(spans or none)
+        # a value of its own where there is no span
+        span = np.where(span == 0, mixed(core ^ columns[0].view(np.uint64)), span)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(np.concatenate(windows or none)))
+        arrays = [*map(pa.array, columns), signed(core), signed(span), lists]
+        return pa.RecordBatch.from_arrays(arrays, names=["entry", "n", "least", "offset", "core", "span", "windows"])
+
+    blocks = written(map_texts(keyed.join(asked, "key").select("doc_id", "text", "key", "asked"), compare, "entry long, n long, least long, offset long, core long, span long, windows array<long>"), "blocks")
+    cores = blocks.groupBy("core").agg(F.count("*").alias("m"), F.min("least").alias("core_low")).where("m > 1").drop("m")
+    spans = blocks.groupBy("span").agg(F.count("*").alias("m"), F.min("least").alias("span_low")).where("m > 1").drop("m")
+    whole = F.coalesce(F.col("span_low") < F.col("least") if earlier else F.col("span_low").isNotNull(), F.lit(False))
+    unsettled = F.col("core_low") < F.col("least") if earlier else F.col("n") == 1
+    judged = blocks.select("entry", "n", "least", "offset", "core", "span", F.size("windows").alias("size")).join(cores, "core").join(spans, "span", "left")
+    judged = written(judged.select("entry", "offset", "size", "core", whole.alias("whole"), (unsettled & ~whole).alias("open")), "judged")
+    opened = judged.where("open").select("core").distinct()
+    windows = blocks.join(opened, "core", "left_semi").select("entry", "n", "least", "offset", F.posexplode("windows").alias("k", "window")).select("entry", "n", "least", (F.col("offset") + F.col("k")).alias("offset"), "window")
     if earlier:
         hit = windows.groupBy("window").agg(F.min("least").alias("low"), F.max("least").alias("high")).filter("low < high").select("window", "low")
         back = windows.join(hit, "window").filter("least > low")
     else:
         hit = windows.groupBy("window").agg(F.sum("n").alias("all")).filter("all > 1").select("window")
         back = windows.filter("n = 1").join(hit, "window", "left_semi")
-    offsets = back.groupBy("entry").agg(F.collect_list(F.col("offset").cast("int")).alias("offsets"))
+    single = back.select("entry", F.col("offset").alias("a"), F.col("offset").alias("b"))
+    spread = judged.where("whole").select("entry", F.col("offset").alias("a"), (F.col("offset") + F.col("size") - 1).alias("b"))
+    offsets = single.unionByName(spread).groupBy("entry").agg(F.collect_list(F.struct("a", "b")).alias("offsets"))
     known = entries.select("entry", "n", "least", "most").join(offsets, "entry", "left")
     known = written(known.filter("least < most" if earlier else "n > 1").select("entry", "n", "least", "offsets").unionByName(known.filter(("least >= most" if earlier else "n = 1") + " and offsets is not null").select("entry", "n", "least", "offsets")), "known")
     whole = (F.col("id") > F.col("least")) if earlier else (F.col("n") > 1)
-    part = F.transform("offsets", lambda o: F.struct((F.col("first") + o).alias("a"), (F.col("first") + o).alias("b")))
+    part = F.transform("offsets", lambda o: F.struct((F.col("first") + o["a"]).alias("a"), (F.col("first") + o["b"]).alias("b")))
     runs = F.when(whole, F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))).otherwise(part)
     marks = found.join(known, "entry").select("key", runs.alias("runs")).filter("runs is not null")
     marks = marks.groupBy("key").agg(F.flatten(F.collect_set("runs")).alias("runs"))

@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 from .repeats import covered, n_runs, sha, window_repeats, word_units
 
-WIDTH, GRAM = 50, 12
+WIDTH, GRAM, BLOCK = 50, 12, 10
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long, kept string"
 
 
-def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """One row for each row: word counts, the words kept joined by one space, their SHA-256 and the number of factors."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -34,4 +34,4 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> D
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "n_factors", "kept"])
 
-    return map_texts(window_repeats(docs, word_units, width, gram, earlier=True), each, SCHEMA)
+    return map_texts(window_repeats(docs, word_units, width, gram, block, earlier=True), each, SCHEMA)

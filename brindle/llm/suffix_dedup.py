@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from .common import map_texts
 from .repeats import byte_units, covered, n_runs, sha, window_repeats
 
-WIDTH, GRAM = 400, 48
+WIDTH, GRAM, BLOCK = 400, 48, 32
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def dedup_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def dedup_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """One row for each row: sizes, maximal removed runs, and the bytes kept with their SHA-256."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -34,4 +34,4 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFr
         kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return map_texts(window_repeats(docs, byte_units, width, gram, earlier=False), each, SCHEMA)
+    return map_texts(window_repeats(docs, byte_units, width, gram, block, earlier=False), each, SCHEMA)

@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from brindle.llm import language, media, mixing, pieces, secrets, simhash, sketch, substring, suffix_dedup, token_counts
+from brindle.llm import language, media, mixing, pieces, repeats, secrets, simhash, sketch, substring, suffix_dedup, token_counts
 from brindle.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, key string, part string, runs string"
@@ -202,3 +202,27 @@ def test_media_store_holds_each_chunk_and_file_once(spark, docs, rows):
     assert sorted(files) == sorted({hashlib.sha256(media.wav(media.payload(t))).digest() for _, t in rows})
     assert homes.count() and owners.count() == len(rows) and media.rebuilt(store, homes).count() == len(files)
     spark.sql(f"drop table {name}")
+
+
+@pytest.mark.parametrize("width,gram,block", [(24, 5, 4), (60, 8, 17)])
+def test_repeats_of_edited_copies(spark, width, gram, block):
+    rng = random.Random(width)
+    base = ["".join(rng.choices("abcd", k=rng.randint(100, 500))) for _ in range(12)]
+    found = list(base)
+    for _ in range(60):
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(0, 6)):
+            t[rng.randrange(len(t))] = rng.choice("xyz")
+        cut = rng.randrange(len(t))
+        found.append("".join(t[cut:] + list(rng.choice(base)[: rng.randint(0, 200)]) + t[:cut]))
+    found += ["ab" * 200, "a" * 150, base[0] + base[0]]
+    frame = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string").repartition(3)
+    places = {}
+    for i, t in enumerate(found):
+        for k in range(len(t) - width + 1):
+            places.setdefault(t[k : k + width], []).append(i)
+    for earlier in (False, True):
+        got = {r.doc_id: r.runs for r in repeats.window_repeats(frame, repeats.byte_units, width, gram, block, earlier).collect()}
+        for i, t in enumerate(found):
+            starts = [k for k in range(len(t) - width + 1) if (min(places[t[k : k + width]]) < i if earlier else len(places[t[k : k + width]]) > 1)]
+            assert sorted({k for r in got[i] or () for k in range(r["a"], r["b"] + 1)}) == starts
