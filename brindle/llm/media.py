@@ -31,7 +31,7 @@ BLOCK, LEAST, MOST, REACH = 192, 256, 8192, 16
 CUT = np.uint16(0xFF80)
 RATE = 8000
 #: Compression of a pack.
-LEVEL = 3
+LEVEL = 6
 
 
 def gear() -> np.ndarray:
@@ -140,14 +140,17 @@ def lanes(spark: SparkSession) -> list[int]:
 
 @contextmanager
 def bucketed(spark: SparkSession):
-    """Lets joins by (lane, pack) use the tables' bucketing by lane, so that packs are not shuffled."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    """Lets joins by (lane, pack) use the tables' bucketing by lane, so that packs are not shuffled, and hands few packs at
+    a time to a Python worker."""
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "4"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def table(df: DataFrame, buckets: int) -> tuple[DataFrame, str]:
