@@ -1,14 +1,14 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
 The model's pieces, normaliser and byte fallback become one transducer: the normaliser maps a space to U+2581 and puts
-one before the text; each piece is a path of its letters with the cost of its negated score; a letter that no piece
-spells goes through its bytes. Composition with a text is the lattice of its positions, and encoding is its shortest
-path in the tropical semiring (costs add, the lesser wins; of equal costs the longer last piece wins). No piece holds
-U+2581 after another letter, so the lattice falls apart before each run of them; the parts' shortest paths are
-remembered. Decoding maps pieces and bytes back.
-
-With a BPE model this path is the least-cost segmentation under the piece scores, which can differ from the one that
-merging gives; decoding always returns the text.
+one before the text; each piece is an arc over its letters; a letter that no piece spells goes through its bytes.
+Composition with a text is the lattice of its positions. A BPE model's scores are merge ranks, so arcs carry no sum of
+them: an arc costs nothing if it is merge-consistent with the arc before it and is closed if it is not. Two pieces are
+consistent if merging their joint letters (the best score first, of equal ones the leftmost) ends in just these two. A
+path is what merging gives the whole text exactly if all its neighbours are consistent, as the first merge over a border
+would be made for the two pieces alone too. So one open arc ends at each position, and the path is SentencePiece's own
+encoding. No piece holds U+2581 after another letter, so the lattice falls apart before each run of them; the parts'
+paths are remembered. Decoding maps pieces and bytes back.
 
 Edge cases: null and empty texts have no pieces and decode to the empty text; repeated rows are kept; null ids are kept;
 further columns are ignored by encode; U+2581 in a text is read as a space, as the model has it.
@@ -17,7 +17,7 @@ further columns are ignored by encode; U+2581 in a text is read as a space, as t
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 from itertools import chain
 from math import inf
@@ -32,12 +32,12 @@ from pyspark.sql import DataFrame
 from .common import ids_and_texts, map_texts
 
 SPACE = "▁"
-CACHE, LONG = 400_000, 64
+CACHE, LONG, PAIRS = 400_000, 64, 2_000_000
 SCHEMA = "doc_id long, n_pieces long, n_bytes_pieces long, ids array<int>, ids_sha256 string, decoded string, round_trip boolean"
 
 
 class Paths(dict):
-    """Shortest paths of parts met before; those of long parts are not kept, and all are forgotten when there are CACHE."""
+    """Paths of parts met before; those of long parts are not kept, and all are forgotten when there are CACHE."""
 
     def __init__(self, find: Callable[[str], tuple[int, ...]]):
         super().__init__()
@@ -52,6 +52,20 @@ class Paths(dict):
         return ids
 
 
+class Fits(dict):
+    """Whether two pieces, by id, are merge-consistent neighbours; all are forgotten when there are PAIRS."""
+
+    def __init__(self, find: Callable[[int, int], bool]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, pair: tuple[int, int]) -> bool:
+        if len(self) >= PAIRS:
+            self.clear()
+        self[pair] = good = self.find(*pair)
+        return good
+
+
 class Transducer:
     def __init__(self, path: str):
         import sentencepiece
@@ -65,17 +79,20 @@ class Transducer:
             raise ValueError("a piece goes on after a space; texts cannot be parted before spaces")
         # every arc of pieces, found in one pass over a text: its length, cost and ids
         self.automaton = ahocorasick.Automaton()
-        self.price, self.spelled = {}, {}
+        self.price, self.spelled, self.score = {}, {}, {}
         for i in usable:
             # scores at the floor mark runs of spaces that merging alone reaches; they cost what their length is worth
+            self.score[self.pieces[i]] = model.get_score(i)
             cost = -model.get_score(i)
             self.price[i] = self.spelled[self.pieces[i]] = cost if cost < 1e8 else 0.0
             self.automaton.add_word(self.pieces[i], (len(self.pieces[i]), self.price[i], (i,)))
         self.automaton.make_automaton()
         # a letter that is a piece costs less than its bytes
         self.letters = frozenset(x for x in self.spelled if len(x) == 1)
+        if not all(map(self.letters.issuperset, self.spelled)):
+            raise ValueError("a piece holds a letter that is none; its bytes could not be told from the letter in merging")
         self.fallback = 1.0 + max(-s for i in usable if (s := model.get_score(i)) > -1e8)
-        self.known = Paths(self.shortest)
+        self.known, self.fits, self.grown = Paths(self.merged), Fits(self.consistent), {}
         # by id: the bytes it stands for, its number in decimal and whether it is a byte's
         self.raw = [bytes([self.of_byte[i]]) if i in self.of_byte else p.encode() for i, p in enumerate(self.pieces)]
         self.decimal = [str(i) for i in range(len(self.pieces))]
@@ -89,12 +106,67 @@ class Transducer:
         raw = letter.encode()
         return 1, self.fallback * len(raw), tuple(self.bytes[b] for b in raw)
 
-    def shortest(self, part: str) -> tuple[int, ...]:
-        n, arcs = len(part), self.automaton.iter(part)
+    def growth(self, i: int) -> list[tuple[float, str, str]] | None:
+        """The merges that make a piece of its letters, in order: the score of each and the first and the last symbol after it.
+        None if merging ends otherwise, so that no text has the piece."""
+        if i not in self.grown:
+            symbols, steps = list(self.pieces[i]), []
+            while len(symbols) > 1:
+                score, at = max((self.score.get(a + b, -inf), -k) for k, (a, b) in enumerate(zip(symbols, symbols[1:], strict=False)))
+                if score == -inf:
+                    break
+                symbols[-at : 2 - at] = [symbols[-at] + symbols[1 - at]]
+                steps.append((score, symbols[0], symbols[-1]))
+            self.grown[i] = steps if len(symbols) == 1 else None
+        return self.grown[i]
+
+    def consistent(self, a: int, b: int) -> bool:
+        """Whether merging the letters of both pieces ends in these two: until both are made, no merge over their border comes first.
+        Bytes are of letters that nothing merges with."""
+        alone = a < 0 or a in self.of_byte, b in self.of_byte
+        left, right = ([] if x else self.growth(i) for x, i in zip(alone, (a, b), strict=True))
+        if left is None or right is None or any(alone):
+            return left is not None and right is not None
+        end, start, j, k = self.pieces[a][-1], self.pieces[b][0], 0, 0
+        while True:
+            one = left[j][0] if j < len(left) else -inf
+            two = right[k][0] if k < len(right) else -inf
+            over = self.score.get(end + start, -inf)
+            if over > one and over >= two and over > -inf:
+                return False
+            if one == two == -inf:
+                return True
+            if one >= two:
+                end, j = left[j][2], j + 1
+            else:
+                start, k = right[k][1], k + 1
+
+    def arcs(self, part: str) -> Iterable[tuple[int, tuple[int, float, tuple[int, ...]]]]:
+        """Where each arc ends (its last letter), its length, cost and ids, by where they end, the longest first."""
+        arcs = self.automaton.iter(part)
         if not self.letters.issuperset(part):
             arcs = sorted([*arcs, *((k, self.by_bytes(c)) for k, c in enumerate(part) if c not in self.letters)], key=itemgetter(0))
+        return arcs
+
+    def merged(self, part: str) -> tuple[int, ...]:
+        """The path whose neighbours are all merge-consistent; just one such arc ends at each place."""
+        n, fits = len(part), self.fits
+        back: list[tuple[int, tuple[int, ...]] | None] = [(0, (-1,))] + [None] * n
+        for end, (length, _, ids) in self.arcs(part):
+            end += 1
+            if back[end] is None and fits[back[end - length][1][-1], ids[0]]:
+                back[end] = length, ids
+        out: list[tuple[int, ...]] = []
+        while n:
+            length, ids = back[n]
+            n -= length
+            out.append(ids)
+        return tuple(chain.from_iterable(reversed(out)))
+
+    def shortest(self, part: str) -> tuple[int, ...]:
+        """The path of least added-up scores, whether merging reaches it or not. Texts are not encoded by it."""
+        n, arcs = len(part), self.arcs(part)
         cost, back = [0.0] + [inf] * n, [(0, ())] * (n + 1)
-        # arcs come by where they end, the longest first
         for end, (length, price, ids) in arcs:
             end += 1
             if (total := cost[end - length] + price) < cost[end]:

@@ -158,6 +158,21 @@ def test_pieces(docs):
         assert cost(fst.shortest(part)) == pytest.approx(brute(part))
 
 
+def test_pieces_are_those_of_sentencepiece(spark, docs):
+    import sentencepiece
+
+    path = tokenizer("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rng = random.Random(5)
+    signs = ["  ", " ", "▁", "a", "the", "ing", "\n", "é", "漢", "😀", "\0", "A\u030a", "__", " " * 33]
+    odd = spark.createDataFrame([(k, "".join(rng.choices(signs, k=rng.randint(0, 30)))) for k in range(300)], "doc_id long, text string")
+    for frame in (real, docs.select("doc_id", "text"), odd):
+        got = pieces.encode(frame, path).collect()
+        same([(r.doc_id, r.n_pieces, r.ids) for r in got], [(r.doc_id, len(x), x) for r in frame.collect() for x in [model.encode(r.text or "")]])
+    assert model.encode("the hello", out_type=str) == [pieces.transducer(path).pieces[i] for i in pieces.transducer(path).encode("the hello")]
+
+
 def test_sketch(docs, rows):
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     cut = lambda x: set(re.split(r"(?<=[.!?])\s+|\n+", x))
