@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -31,8 +29,9 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
 
 
 def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """Rows of equal id and text share it, and share every result too, so that joins by it are exact for repeated rows."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
+    """128 bits of SHA-256. Rows of equal id and text share it, and share every result too, so that joins by it are exact for repeated rows."""
+    whole = F.concat(F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("")), F.when(F.col(text).isNull(), "-").otherwise("+"), F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return F.unhex(F.substring(F.sha2(whole.cast("binary"), 256), 1, 32))
 
 
 def chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -86,23 +85,44 @@ def map_texts(df: DataFrame, each: Callable[[pa.RecordBatch], pa.RecordBatch | p
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or in tests, where that is unset, a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "brindle-shared")
+    """A new folder that driver and executors share: under spark.checkpoint.dir or, where that is unset, under the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/brindle_shared"
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """The rows written as Parquet in the shared folder and read again: it cuts lineage and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/{name}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    folder = shared_folder(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+    out = df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+    out.brindle_folder = folder
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that `written` returned, once nothing that is still to run reads them, and let Spark's cleaner find the
+    shuffle files that nothing refers to any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.brindle_folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    if tables:
+        spark._jvm.System.gc()
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, key: str | list[str], count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with facts, of which each key has one row. `count` is a column of facts: how many of about `total` rows
+    have the key, at least. Keys of more than one row in 256 are at most 255: a broadcast of proven size keeps their rows
+    where they are."""
+    hot = F.col(count) * 256 > total
+    few, rest = facts.where(hot), facts.where(~hot)
+    keys = [key] if isinstance(key, str) else key
+    others = rows.join(F.broadcast(few.select(keys)), keys, "left_anti").join(rest, keys, how)
+    return rows.join(F.broadcast(few), keys).unionByName(others)
 
 
 def with_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    """rows joined with facts, of which each key has one row. Keys of more than one row in 256 are at most 255: a broadcast
-    of proven size keeps their rows in place."""
+    """rows joined with facts, of which each key has one row; hot keys as in hot_join."""
     counted = rows.groupBy(key).agg(F.count("*").alias("n"))
     total = rows.count()
     hot = facts.join(F.broadcast(counted.where(F.col("n") * 256 > total).select(key)), key, "left_semi")
