@@ -4,6 +4,7 @@ import hashlib
 from zlib import crc32
 
 import corpus_pipeline
+from test_similar import kept
 from brindle.llm import language, mixing, pieces, secrets, simhash
 from brindle.llm.queries import tokenizer
 from pyspark.sql import functions as F
@@ -16,26 +17,6 @@ def folder(spark, path, extra):
     return f"{path}"
 
 
-def groups(rows):
-    """Each row's least id reachable over fingerprints of at most three differing bits."""
-    fps = [simhash.fingerprint(r["text"]) for r in rows]
-    root = list(range(len(rows)))
-
-    def top(k):
-        while root[k] != k:
-            k = root[k]
-        return k
-
-    for a in range(len(rows)):
-        for b in range(a):
-            if (fps[a] ^ fps[b]).bit_count() <= 3:
-                root[top(a)] = top(b)
-    least = {}
-    for k, r in enumerate(rows):
-        least[top(k)] = min(least.get(top(k), r["doc_id"]), r["doc_id"])
-    return [least[top(k)] for k in range(len(rows))]
-
-
 def identified(rows):
     by = {}
     for r in rows:
@@ -51,13 +32,15 @@ def test_pipeline(spark, tmp_path):
     sf = folder(spark, tmp_path, extra)
     rows = identified([r.asDict() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
     assert not {90001, 90002, 90003} & {r["doc_id"] for r in rows}
-    rows = [r for r, g in zip(rows, groups(rows), strict=True) if r["doc_id"] == g]
+    stay = {i for i, _ in kept([(r["doc_id"], r["text"]) for r in rows])}
+    rows = [r for r in rows if r["doc_id"] in stay]
     rows = [r | {"text": secrets.redacted(r["text"])} for r in rows]
     assert [r["text"][:12] for r in rows if r["doc_id"] in (90004, 90005)] == ["[SECRET] and"]
     frame = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")
     rates = mixing.mixed_rates(frame, spark.read.parquet(f"{sf}/labels.parquet"))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    copies = {r.doc_id: int(r.rate + r.draw) for r in rates.select("doc_id", "rate", draw.alias("draw")).collect()}
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    drawn = {r.doc_id: r.draw for r in frame.select("doc_id", draw.alias("draw")).collect()}
+    copies = {r.doc_id: int(r.rate + drawn[r.doc_id]) for r in rates.collect()}
     fst = pieces.transducer(tokenizer("piece_bpe_32k.model"))
     want = []
     for r in rows:
