@@ -5,7 +5,11 @@ them: `pem` and `der` are private keys whose base64 or hex body parses as nested
 private key (or as an OpenSSH key's length-prefixed strings), `jwt` is a signed token whose header decodes to JSON with
 an algorithm. Spans are in code points, end exclusive.
 
-Edge cases: a null text counts as empty; null ids and repeated rows are kept; further columns are ignored.
+Work grows with the length of a text: markers are paired once, and each candidate's bytes are decoded once. A key that
+is wrapped over lines without markers is followed for as many letters as its outer length says, WRAPPED at most.
+
+Edge cases: a null text counts as empty; null ids and repeated rows are kept; further columns are ignored by scan_secrets
+and kept, whatever their names, by redact_secrets; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,11 +34,17 @@ ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 LEAST = {"assign": 8, "access": 16, "hex": 32}
-PEM_BEGIN, PEM_END = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----"), "-----END {}-----"
+MARKER = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+#: Base64 letters of a key without markers that goes on over line ends, at most: RSA keys of 16,384 bits have 13,000.
+WRAPPED = 65_536
 #: The first base64 letters of a DER sequence and of an OpenSSH key.
 BASE64 = re.compile(r"(?:M[A-Za-z0-9+/_-]{22}|b3BlbnNzaC1rZXktdjEA)[A-Za-z0-9+/_-]*={0,2}")
-LONG_HEX = re.compile(r"30[0-9A-Fa-f]{46,}")
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: The same in hex.
+LONG_HEX = re.compile(r"(?:30|6f70656e7373682d6b65792d7631)[0-9A-Fa-f]{46,}", re.I)
+#: The head of a token is an object in JSON; white space may follow its brace.
+TOKEN = re.compile(r"(?<![A-Za-z0-9_-])e[wy][A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]*")
+LINE_END = re.compile(r"\\r\\n|\\n|[\r\n]\s*")
+LINE, PAD = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"={0,2}")
 SSH_MAGIC = b"openssh-key-v1\0"
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_confirmed long"
 
@@ -114,6 +124,36 @@ def key_bytes(data: bytes | None) -> bool:
     return bool(data) and (private_der(data) or ssh_key(data))
 
 
+def pem_body(body: str) -> bool:
+    """Whether what lies between markers is a key; its line ends may be escaped."""
+    body = body.replace("\\r", "").replace("\\n", "\n").replace("\r", "")
+    head, blank, rest = body.partition("\n\n")
+    if blank and ":" in head:
+        # an encrypted body shows no structure; its headers name the cipher
+        return "ENCRYPTED" in head and bool(decoded(rest))
+    return key_bytes(decoded(body))
+
+
+def wrapped_key(text: str, start: int, end: int) -> int | None:
+    """The end of a DER key in base64 that goes on over line ends after its first line, which ends at `end`."""
+    head = decoded(text[start : start + 8]) or b""
+    if len(head) < 6 or head[0] != 0x30 or not head[1] & 0x80 or not 1 <= (wide := head[1] & 0x7F) <= 4:
+        return None
+    need = -(-(2 + wide + int.from_bytes(head[2 : 2 + wide], "big")) * 4 // 3)
+    if not end - start < need <= WRAPPED:
+        return None
+    parts, held, at = [text[start:end]], end - start, end
+    while held < need and (gap := LINE_END.match(text, at)):
+        line = LINE.match(text, gap.end())
+        if not line:
+            return None
+        parts.append(line[0][: need - held])
+        at = gap.end() + len(parts[-1])
+        held += len(parts[-1])
+    pad = PAD.match(text, at)[0]
+    return at + len(pad) if held == need and key_bytes(decoded("".join(parts))) else None
+
+
 def signed_header(token: str) -> bool:
     try:
         header = json.loads(decoded(token.split(".")[0]) or b"")
@@ -135,34 +175,30 @@ def plain_spans(text: str) -> Iterator[tuple[int, int, int]]:
 
 def confirmed_spans(text: str) -> Iterator[tuple[int, int, int]]:
     """(start, kind, end) of what decoding confirms."""
-    at = 0
-    while m := PEM_BEGIN.search(text, at):
-        at = m.end()
-        tail = PEM_END.format(m[1])
-        if (end := text.find(tail, at)) < 0:
-            continue
-        body = text[at:end]
-        head, blank, rest = body.partition("\n\n")
-        if blank and ":" in head:
-            # an encrypted body shows no structure; its headers name the cipher
-            good = "ENCRYPTED" in head and bool(decoded(rest))
-        else:
-            good = key_bytes(decoded(body))
-        if good:
-            yield m.start(), 3, end + len(tail)
-            at = end
+    begin = None
+    for m in MARKER.finditer(text) if "PRIVATE KEY-----" in text else ():
+        # a key lies between markers of one name with none in between
+        if m[1] == "BEGIN":
+            begin = m
+        elif begin is not None:
+            if begin[2] == m[2] and pem_body(text[begin.end() : m.start()]):
+                yield begin.start(), 3, m.end()
+            begin = None
     letters = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
     for m in BASE64.finditer(text):
-        if (not m.start() or text[m.start() - 1] not in letters) and key_bytes(decoded(m[0])):
+        if m.start() and text[m.start() - 1] in letters:
+            continue
+        if key_bytes(decoded(m[0])):
             yield m.start(), 4, m.end()
+        elif (end := wrapped_key(text, m.start(), m.end())) is not None:
+            yield m.start(), 4, end
     for m in LONG_HEX.finditer(text):
         inside = m.start() and text[m.start() - 1] in "0123456789abcdefABCDEF"
         if not inside and len(m[0]) % 2 == 0 and key_bytes(bytes.fromhex(m[0])):
             yield m.start(), 4, m.end()
-    if "eyJ" in text:
-        for m in TOKEN.finditer(text):
-            if signed_header(m[0]):
-                yield m.start(), 5, m.end()
+    for m in TOKEN.finditer(text):
+        if signed_header(m[0]):
+            yield m.start(), 5, m.end()
 
 
 def secret_spans(text: str | None) -> list[tuple[int, int, int]]:
