@@ -125,6 +125,58 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_language_code_lengths():
+    """Bits of each text by a plain prediction by partial matching over dictionaries."""
+    from math import log2
+
+    rng = random.Random(2)
+    samples = {name: ["".join(rng.choices(letters, k=rng.randint(1, 200))).encode() for _ in range(5)] for name, letters in (("x", "abc de"), ("y", "cdefé漢A"), ("z", "zz\0\n"))}
+    model = language.Model.of_texts(samples)
+    asked = [b"abcabc de", "Zé漢漢".encode(), bytes(range(256)), b"z", b"", b"ABC" * 50]
+    order, fold = language.ORDER, lambda b: b.translate(bytes(language.FOLD.tolist()))
+    for k, name in enumerate(model.names):
+        met = Counter()
+        for t in samples[name]:
+            padded = b" " * order + fold(t)
+            for i in range(order, len(padded)):
+                met[padded[i - order : i + 1]] += 1
+        trees = {order: met}
+        for n in range(order - 1, -1, -1):
+            trees[n] = Counter()
+            for g, c in trees[n + 1].items():
+                trees[n][g[1:]] += c
+        for j, t in enumerate(asked):
+            padded, want = b" " * order + fold(t), 0.0
+            for i in range(order, len(padded)):
+                for n in range(order, -1, -1):
+                    after = {g[-1]: c for g, c in trees[n].items() if g[:-1] == padded[i - n : i]}
+                    if not after:
+                        continue
+                    total, c = sum(after.values()) + len(after), after.get(padded[i])
+                    want -= log2((c or len(after)) / total)
+                    if c:
+                        break
+                else:
+                    want += 8
+            assert model.bits(asked)[j, k] == pytest.approx(want)
+    # pieces of a long text are priced as the whole
+    long = "".join(rng.choices("abcdefg ", k=200_000)).encode()
+    whole = model.bits([long])
+    before, language.CHUNK_BYTES = language.CHUNK_BYTES, 1000
+    try:
+        assert model.bits([b"", long, b"a"])[1] == pytest.approx(whole[0])
+    finally:
+        language.CHUNK_BYTES = before
+
+
+def test_language_keeps_what_it_knows(spark):
+    docs = spark.createDataFrame([(k, "ein wort und noch ein wort " * 5, "de", "c") for k in range(8)] + [(20, None, "de", "c"), (21, "", "de", "c"), (22, "12 34", "de", "c"), (23, "xq", "de", "c"), (None, "noch ein wort und ein wort", None, "c"), (24, "qxzjkv" * 30, None, "c")], "doc_id long, text string, lang string, kept string")
+    got = language.keep_identified(docs, language.learn(docs))
+    assert got.columns == docs.columns
+    assert sorted(map(str, (r.doc_id for r in got.collect()))) == sorted(["0", "1", "2", "3", "4", "5", "6", "7", "23", "None"])
+    assert language.keep_identified(docs, {}).count() == 11
+
+
 def test_language_without_letters(docs):
     got = language.identify(docs, language.learn(docs)).collect()
     none = [r for r, t in zip(got, docs.collect(), strict=True) if not any(map(str.isalpha, t.text or ""))]
@@ -237,7 +289,108 @@ def test_repeats_of_edited_copies(spark, width, gram, block):
         for k in range(len(t) - width + 1):
             places.setdefault(t[k : k + width], []).append(i)
     for earlier in (False, True):
-        got = {r.doc_id: r.runs for r in repeats.window_repeats(frame, repeats.byte_units, width, gram, block, earlier).collect()}
+        got = {r.doc_id: r.runs for r in repeats.window_repeats(frame, repeats.Bytes, width, gram, block, earlier).collect()}
         for i, t in enumerate(found):
             starts = [k for k in range(len(t) - width + 1) if (min(places[t[k : k + width]]) < i if earlier else len(places[t[k : k + width]]) > 1)]
             assert sorted({k for r in got[i] or () for k in range(r["a"], r["b"] + 1)}) == starts
+
+
+def thue_morse(k):
+    out = "a"
+    for _ in range(k):
+        out += out.translate(str.maketrans("ab", "ba"))
+    return out
+
+
+def test_built_collisions_of_polynomial_hashes_are_told_apart(spark):
+    """Texts that agree in every polynomial hash modulo 2**64 (Thue-Morse strings and their complements) are different."""
+    shared = "".join(random.Random(4).choices("cdefgh ", k=144))
+    found = []
+    for k in (6, 7, 10, 11):
+        one = thue_morse(k)
+        other = one.translate(str.maketrans("ab", "ba"))
+        found += [one[:128] + shared + other[:128], other[:128] + shared + one[:128], one + shared + one, other + shared + other]
+    found = [t + t[: max(0, 400 - len(t))] for t in found]
+    frame = spark.createDataFrame(list(enumerate(found)), "doc_id long, text string")
+    count = Counter(t[k : k + 400] for t in found for k in range(len(t) - 399))
+    want = [(i, len({p for k in range(len(t) - 399) if count[t[k : k + 400]] > 1 for p in range(k, k + 400)})) for i, t in enumerate(found)]
+    same(suffix_dedup.dedup_bytes(frame).select("doc_id", "n_removed").collect(), want)
+
+
+def plain_secrets(text):
+    """Base kinds by a plain version of the contract."""
+    found = []
+    for k, (pattern, least, group) in enumerate(((r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2), ("AKIA[A-Z0-9]+", 16, 0), ("[0-9a-f]+", 32, 0))):
+        for m in re.finditer(f"(?i:{pattern})" if not k else pattern, text, re.ASCII):
+            if len(m[group]) >= least:
+                found.append((m.start(), k, f"{('assign', 'access', 'hex')[k]}:{m.start()}:{m.end()}"))
+    return [[k for _, k, _ in found].count(k) for k in range(3)], sha(",".join(x for *_, x in sorted(found)).encode())
+
+
+def test_secrets_base_of_all_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {r.doc_id: plain_secrets(r.text or "") for r in docs.collect()}
+    for r in secrets.scan_secrets(docs).collect():
+        assert ([r.n_assign, r.n_access, r.n_hex], r.base_sha256) == want[r.doc_id]
+
+
+def der(tag, *parts):
+    body = b"".join(parts)
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x80 + (n.bit_length() + 7) // 8]) + n.to_bytes((n.bit_length() + 7) // 8, "big")
+    return bytes([tag]) + size + body
+
+
+def test_secrets_confirmed_by_structure(spark):
+    import base64
+    import json
+
+    rng = random.Random(9)
+    number = lambda n: der(2, b"\x01" + rng.randbytes(n))
+    rsa = der(0x30, der(2, b"\0"), *(number(60) for _ in range(8)))
+    pkcs8 = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2a\x86\x48")), der(4, rsa))
+    ec = der(0x30, der(2, b"\1"), der(4, rng.randbytes(32)))
+    string = lambda x: len(x).to_bytes(4, "big") + x
+    ssh = b"openssh-key-v1\0" + string(b"none") + string(b"none") + string(b"") + (1).to_bytes(4, "big") + string(rng.randbytes(51)) + string(rng.randbytes(200))
+    text = lambda x: base64.b64encode(x).decode()
+    lines = lambda x: "\n".join(text(x)[k : k + 64] for k in range(0, len(text(x)), 64))
+    pem = lambda name, body: f"-----BEGIN {name}-----\n{body}\n-----END {name}-----"
+    jwt = lambda head: base64.urlsafe_b64encode(head.encode()).decode().rstrip("=") + ".e30.sig"
+    good = {
+        "pem": [pem("RSA PRIVATE KEY", lines(rsa)), pem("PRIVATE KEY", lines(pkcs8)), pem("EC PRIVATE KEY", text(ec)), pem("OPENSSH PRIVATE KEY", lines(ssh)), pem("RSA PRIVATE KEY", lines(rsa)).replace("\n", "\\n"), pem("RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\n\n" + lines(rng.randbytes(90)))],
+        "der": [text(rsa), rsa.hex(), text(pkcs8), lines(rsa), text(ssh), ssh.hex()],
+        "jwt": [jwt(json.dumps({"alg": "HS256"})), jwt('{ "alg":"none"}'), jwt('{\n"alg":"RS256"}')],
+    }
+    bad = [pem("RSA PRIVATE KEY", lines(rsa[:-9])), text(rsa[:-2]), "M" * 400, text(rng.randbytes(300)), jwt('{"typ":"x"}'), jwt("[1]"), "eyJhbGci.e30.abc", "ey.ey.ey", "-----BEGIN RSA PRIVATE KEY-----"]
+    for kind, found in good.items():
+        for x in found:
+            spans = [s for s in secrets.secret_spans(f"é {x} .") if s[1] == secrets.KINDS.index(kind)]
+            assert spans == [(2, secrets.KINDS.index(kind), 2 + len(x))], (kind, x)
+            assert x not in secrets.redacted(f"é {x} .")
+    for x in bad:
+        assert [s for s in secrets.secret_spans(f"a {x} b") if s[1] > 2] == [], x
+    clash = spark.createDataFrame([(1, "token=abcdefgh1", "a", 15), (None, None, None, None)], "doc_id long, text string, spans string, n_chars int")
+    assert [tuple(r) for r in secrets.redact_secrets(clash).collect()] == [(1, "[SECRET]", "a", 8), (None, None, None, None)]
+
+
+@pytest.mark.parametrize("text", ["-----BEGIN RSA PRIVATE KEY-----\nMIIEabcd" * 20_000, "-----BEGIN RSA PRIVATE KEY-----\n" * 20_000 + "-----END RSA PRIVATE KEY-----", "ey" * 500_000, "eyJ.eyJ." * 100_000, "-ey" * 300_000, "MIIEowIBAAKCAQEA\n" * 50_000, "30" * 500_000, "secret " * 100_000 + " " * 100_000, "AKIA" * 200_000, "token=" * 100_000])
+def test_secrets_of_long_texts_take_seconds(text):
+    import time
+
+    start = time.time()
+    secrets.secret_spans(text)
+    assert time.time() - start < 20
+
+
+def test_tokens_of_long_pieces():
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    t, rng = Tokenizer.from_file(path), random.Random(8)
+    found = ["a" * 100_000, "ab" * 3000, "".join(rng.choices("etaoinshrdlu", k=200_000)), "é漢" * 20_000, "=" * 70_001, "x" * 257, " " * 9999 + "end", "".join(rng.choices("ab", k=5000))]
+    start = time.time()
+    got = token_counts.counter(path).count(found)
+    assert time.time() - start < 60
+    assert got == [len(t.encode(x, add_special_tokens=False)) for x in found]
