@@ -1,23 +1,27 @@
 """SentencePiece encoding and decoding by weighted finite-state transducers.
 
-The model's pieces, normaliser and byte fallback become one transducer: the normaliser maps a space to U+2581 and puts
-one before the text; each piece is an arc over its letters; a letter that no piece spells goes through its bytes.
-Composition with a text is the lattice of its positions. A BPE model's scores are merge ranks, so arcs carry no sum of
-them: an arc costs nothing if it is merge-consistent with the arc before it and is closed if it is not. Two pieces are
-consistent if merging their joint letters (the best score first, of equal ones the leftmost) ends in just these two. A
-path is what merging gives the whole text exactly if all its neighbours are consistent, as the first merge over a border
-would be made for the two pieces alone too. So one open arc ends at each position, and the path is SentencePiece's own
-encoding. No piece holds U+2581 after another letter, so the lattice falls apart before each run of them; the parts'
+Three transducers are compiled from the model file. The normaliser, as the file specifies it, maps letters to letters and
+puts U+2581 before a text. The pieces are an automaton with an arc for each piece over its letters. Byte fallback maps a
+letter that no piece spells to the pieces of its bytes. Composed with a text they are the lattice of its positions, and
+the encoding is its shortest path in the tropical semiring.
+
+A BPE model's scores are merge ranks and no costs to add up, so weights are 0 and infinity: a state is the piece that
+ends at a position, and an arc costs nothing if it is merge-consistent with that piece. Two pieces are consistent if
+merging their joint letters (the best score first, of equal ones the leftmost) ends in just these two. A path is what
+merging gives the whole text exactly if all its neighbours are consistent, as the first merge over a border would be made
+for the two pieces alone too. So one arc of finite weight ends at each position, and the shortest path is SentencePiece's
+own encoding. No piece holds U+2581 after another letter, so the lattice falls apart before each run of them; the parts'
 paths are remembered. Decoding maps pieces and bytes back.
 
 Edge cases: null and empty texts have no pieces and decode to the empty text; repeated rows are kept; null ids are kept;
-further columns are ignored by encode; U+2581 in a text is read as a space, as the model has it.
+further columns are ignored by encode; U+2581 in a text is read as a space, as the model has it; an empty table gives an
+empty table; work grows with the length of a text.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 from math import inf
@@ -66,10 +70,58 @@ class Fits(dict):
         return good
 
 
+def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Numbers and values of the fields of a message in the protocol-buffer wire format."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = raw[at]
+            at += 1
+            out |= (byte & 0x7F) << shift
+            shift += 7
+            if byte < 0x80:
+                return out
+
+    while at < len(raw):
+        key = number()
+        if key & 7 == 0:
+            yield key >> 3, number()
+            continue
+        n = {1: 8, 5: 4}.get(key & 7) or number()
+        yield key >> 3, raw[at : at + n]
+        at += n
+
+
+class Normaliser:
+    """The model's normaliser as a transducer of one state: what it puts before a text, and each letter's output."""
+
+    #: Fixed values of the format: the field of the normaliser's specification and the fields in it.
+    SPEC, CHARSMAP, PREFIX, TRIM, ESCAPE = 3, 2, 3, 4, 5
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            found = dict(fields(next((v for k, v in fields(f.read()) if k == self.SPEC), b"")))
+        if found.get(self.CHARSMAP) or found.get(self.TRIM, 1):
+            raise ValueError(f"the model's normaliser maps strings or removes white space: {path}")
+        self.arcs = {ord(" "): SPACE} if found.get(self.ESCAPE, 1) else {}
+        self.start = (SPACE if self.arcs else " ") if found.get(self.PREFIX, 1) else ""
+
+    def __call__(self, text: str) -> str:
+        return self.start + text.translate(self.arcs) if text else ""
+
+    def back(self, text: str) -> str:
+        """The text of an output, which is the text itself but for U+2581 that it had."""
+        return (text.replace(SPACE, " ") if self.arcs else text)[len(self.start) :]
+
+
 class Transducer:
     def __init__(self, path: str):
         import sentencepiece
 
+        self.normal = Normaliser(path)
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.pieces = [model.id_to_piece(i) for i in range(len(model))]
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if model.is_byte(i)}
@@ -77,34 +129,26 @@ class Transducer:
         usable = [i for i in range(len(model)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         if any(SPACE in p.lstrip(SPACE) for p in map(self.pieces.__getitem__, usable)):
             raise ValueError("a piece goes on after a space; texts cannot be parted before spaces")
-        # every arc of pieces, found in one pass over a text: its length, cost and ids
-        self.automaton = ahocorasick.Automaton()
-        self.price, self.spelled, self.score = {}, {}, {}
+        # every arc of pieces, found in one pass over a text: its length and ids
+        self.automaton, self.score = ahocorasick.Automaton(), {}
         for i in usable:
-            # scores at the floor mark runs of spaces that merging alone reaches; they cost what their length is worth
             self.score[self.pieces[i]] = model.get_score(i)
-            cost = -model.get_score(i)
-            self.price[i] = self.spelled[self.pieces[i]] = cost if cost < 1e8 else 0.0
-            self.automaton.add_word(self.pieces[i], (len(self.pieces[i]), self.price[i], (i,)))
+            self.automaton.add_word(self.pieces[i], (len(self.pieces[i]), (i,)))
         self.automaton.make_automaton()
-        # a letter that is a piece costs less than its bytes
-        self.letters = frozenset(x for x in self.spelled if len(x) == 1)
-        if not all(map(self.letters.issuperset, self.spelled)):
+        # a letter that is a piece is never its bytes
+        self.letters = frozenset(x for x in self.score if len(x) == 1)
+        if not all(map(self.letters.issuperset, self.score)):
             raise ValueError("a piece holds a letter that is none; its bytes could not be told from the letter in merging")
-        self.fallback = 1.0 + max(-s for i in usable if (s := model.get_score(i)) > -1e8)
-        self.known, self.fits, self.grown = Paths(self.merged), Fits(self.consistent), {}
+        self.known, self.fits, self.grown = Paths(self.path), Fits(self.consistent), {}
         # by id: the bytes it stands for, its number in decimal and whether it is a byte's
         self.raw = [bytes([self.of_byte[i]]) if i in self.of_byte else p.encode() for i, p in enumerate(self.pieces)]
         self.decimal = [str(i) for i in range(len(self.pieces))]
         self.is_byte = np.array([i in self.of_byte for i in range(len(self.pieces))])
         self.parts = regex.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
-    def normal(self, text: str) -> str:
-        return SPACE + text.replace(" ", SPACE) if text else ""
-
-    def by_bytes(self, letter: str) -> tuple[int, float, tuple[int, ...]]:
-        raw = letter.encode()
-        return 1, self.fallback * len(raw), tuple(self.bytes[b] for b in raw)
+    def by_bytes(self, letter: str) -> tuple[int, tuple[int, ...]]:
+        """The arc of byte fallback."""
+        return 1, tuple(self.bytes[b] for b in letter.encode())
 
     def growth(self, i: int) -> list[tuple[float, str, str]] | None:
         """The merges that make a piece of its letters, in order: the score of each and the first and the last symbol after it.
@@ -141,18 +185,18 @@ class Transducer:
             else:
                 start, k = right[k][1], k + 1
 
-    def arcs(self, part: str) -> Iterable[tuple[int, tuple[int, float, tuple[int, ...]]]]:
-        """Where each arc ends (its last letter), its length, cost and ids, by where they end, the longest first."""
+    def arcs(self, part: str) -> Iterable[tuple[int, tuple[int, tuple[int, ...]]]]:
+        """The composition with a part: where each arc ends (its last letter), its length and ids, by where they end, the longest first."""
         arcs = self.automaton.iter(part)
         if not self.letters.issuperset(part):
             arcs = sorted([*arcs, *((k, self.by_bytes(c)) for k, c in enumerate(part) if c not in self.letters)], key=itemgetter(0))
         return arcs
 
-    def merged(self, part: str) -> tuple[int, ...]:
-        """The path whose neighbours are all merge-consistent; just one such arc ends at each place."""
+    def path(self, part: str) -> tuple[int, ...]:
+        """The ids on the shortest path: the one whose neighbours are all merge-consistent."""
         n, fits = len(part), self.fits
         back: list[tuple[int, tuple[int, ...]] | None] = [(0, (-1,))] + [None] * n
-        for end, (length, _, ids) in self.arcs(part):
+        for end, (length, ids) in self.arcs(part):
             end += 1
             if back[end] is None and fits[back[end - length][1][-1], ids[0]]:
                 back[end] = length, ids
@@ -163,27 +207,12 @@ class Transducer:
             out.append(ids)
         return tuple(chain.from_iterable(reversed(out)))
 
-    def shortest(self, part: str) -> tuple[int, ...]:
-        """The path of least added-up scores, whether merging reaches it or not. Texts are not encoded by it."""
-        n, arcs = len(part), self.arcs(part)
-        cost, back = [0.0] + [inf] * n, [(0, ())] * (n + 1)
-        for end, (length, price, ids) in arcs:
-            end += 1
-            if (total := cost[end - length] + price) < cost[end]:
-                cost[end], back[end] = total, (length, ids)
-        out: list[tuple[int, ...]] = []
-        while n:
-            length, ids = back[n]
-            n -= length
-            out.append(ids)
-        return tuple(chain.from_iterable(reversed(out)))
-
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(map(self.known.__getitem__, self.parts(self.normal(text or "")))))
 
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.raw.__getitem__, ids))
-        return raw.decode(errors="replace").replace(SPACE, " ")[1:]
+        return self.normal.back(raw.decode(errors="replace"))
 
 
 @lru_cache(2)
