@@ -5,7 +5,8 @@ in packs of some megabytes that are compressed whole; the ordered chunk list of
 from chunks of other packs, fetched by a join, and length and digest are verified before features are computed.
 
 Edge cases: a null text is empty and becomes one block of spaces; repeated rows share all chunks; null ids are kept;
-further columns are ignored. A file that fails verification raises.
+further columns are ignored; an empty table gives an empty table. A file that fails verification raises. The tables of the
+warehouse are dropped at the end, after an error too.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, ids_and_texts, with_facts, written
+from .common import chunks, forget, ids_and_texts, with_facts, written
 
 BLOCK, LEAST, MOST, REACH = 192, 256, 8192, 16
 #: A cut where these nine of the rolling hash's sixteen bits are zero: 512 bytes apart on average, beyond the least.
@@ -153,11 +154,14 @@ def bucketed(spark: SparkSession):
             spark.conf.set(name, value)
 
 
-def table(df: DataFrame, buckets: int) -> tuple[DataFrame, str]:
-    """The rows as a table of the warehouse, bucketed by lane, and its name."""
-    name = f"media_{uuid.uuid4().hex}"
+def new_name() -> str:
+    return f"media_{uuid.uuid4().hex}"
+
+
+def table(df: DataFrame, buckets: int, name: str) -> DataFrame:
+    """The rows as a table of the warehouse, bucketed by lane."""
     df.write.bucketBy(buckets, "lane").saveAsTable(name)
-    return df.sparkSession.table(name), name
+    return df.sparkSession.table(name)
 
 
 def rows_of(batches: Iterable[pa.RecordBatch], each: Callable[[dict], list[dict]], schema: pa.Schema):
@@ -181,7 +185,16 @@ def chunk_store(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, str]:
         for k, batch in enumerate(chunks(batches)):
             yield pa.RecordBatch.from_pylist([packed(batch.column(1).to_pylist(), batch.column(0).to_pylist(), keys[task % len(keys)], task << 32 | k)], PACK.append(pa.field(*OWNERS)))
 
-    raw, name = table(ids_and_texts(docs).mapInArrow(pack, PACK_DDL + ", owners array<struct<doc_id:long,n_bytes:long,sha:binary>>"), len(keys))
+    name = new_name()
+    try:
+        return deduplicated(table(ids_and_texts(docs).mapInArrow(pack, PACK_DDL + ", owners array<struct<doc_id:long,n_bytes:long,sha:binary>>"), len(keys), name), len(keys))
+    finally:
+        spark.sql(f"drop table if exists {name}")
+
+
+def deduplicated(raw: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame, DataFrame, str]:
+    """The same from the packs as tasks made them."""
+    spark = raw.sparkSession
     owners = written(raw.select(F.explode("owners").alias("x")).select("x.*"), "owners")
 
     def shared(items: DataFrame) -> DataFrame:
@@ -206,8 +219,13 @@ def chunk_store(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, str]:
     schema = PACK.append(pa.field("gone", NAMES)).append(pa.field("need", NAMES))
     with bucketed(spark):
         decided = raw.drop("owners").join(away, ["lane", "pack"], "left").join(copies, ["lane", "pack"], "left")
-        store, kept = table(decided.mapInArrow(lambda batches: rows_of(batches, rewrite, schema), PACK_DDL + ", gone array<binary>, need array<binary>"), len(keys))
-    spark.sql(f"drop table {name}")
+        kept = new_name()
+        try:
+            store = table(decided.mapInArrow(lambda batches: rows_of(batches, rewrite, schema), PACK_DDL + ", gone array<binary>, need array<binary>"), buckets, kept)
+        except BaseException:
+            spark.sql(f"drop table if exists {kept}")
+            raise
+    forget(away, copies)
     return store, homes, owners, kept
 
 
@@ -237,12 +255,17 @@ def rebuilt(store: DataFrame, homes: DataFrame) -> DataFrame:
         parts = store.select(columns).join(lent, ["lane", "pack"]).mapInArrow(lambda b: rows_of(b, lend, pa.schema([("digest", pa.binary()), ("part", pa.binary())])), "digest binary, part binary")
         # a shared chunk is asked for once by each pack at most
         fetched = asked.select("lane", "pack", "digest").join(parts, "digest").groupBy("lane", "pack").agg(F.collect_list(F.struct("digest", "part")).alias("fetched"))
-        return written(store.select(*columns, "files").join(fetched, ["lane", "pack"], "left").mapInArrow(lambda b: rows_of(b, read, FACTS), FACTS_DDL), "facts")
+        facts = written(store.select(*columns, "files").join(fetched, ["lane", "pack"], "left").mapInArrow(lambda b: rows_of(b, read, FACTS), FACTS_DDL), "facts")
+    forget(asked)
+    return facts
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """doc_id, sizes and digests of payload and stored file, and features, of the file rebuilt from the chunk store."""
     store, homes, owners, name = chunk_store(docs)
-    facts = rebuilt(store, homes)
-    docs.sparkSession.sql(f"drop table {name}")
+    try:
+        facts = rebuilt(store, homes)
+    finally:
+        docs.sparkSession.sql(f"drop table if exists {name}")
+    forget(homes)
     return with_facts(owners, facts, "sha").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.lower(F.hex("sha")).alias("media_sha256"), "feature")

@@ -184,8 +184,19 @@ def test_language_without_letters(docs):
 
 
 def test_media(docs, rows):
-    got = media.media_columns(docs).select("doc_id", "n_bytes", "payload_sha256").collect()
-    same(got, [(i, len(t.encode()), sha(media.payload(t))) for i, t in rows])
+    import struct
+    import zlib
+
+    def plain(t):
+        raw = t.encode()
+        payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        wav = b"RIFF" + struct.pack("<I", 36 + len(payload)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, media.RATE, media.RATE, 1, 8) + b"data" + struct.pack("<I", len(payload)) + payload
+        n, steps = len(payload), sum(abs(a - b) for a, b in zip(payload, payload[1:], strict=False))
+        bins = Counter(b >> 4 for b in payload)
+        feature = f"mean={sum(payload) / n:.4f};square={sum(b * b for b in payload) / n:.3f};step={steps / n:.4f};bins={'.'.join(str(bins[k]) for k in range(16))}"
+        return len(raw), n, sha(payload), zlib.crc32(payload[-16:]), len(wav), sha(wav), feature
+
+    same(media.media_columns(docs).collect(), [(i, *plain(t)) for i, t in rows])
     data = random.Random(1).randbytes(50000)
     ends = media.cuts(data)
     assert ends[-1] == len(data) and max(b - a for a, b in zip([0, *ends], ends, strict=False)) <= media.MOST
@@ -193,21 +204,27 @@ def test_media(docs, rows):
 
 def test_pieces(docs):
     got = pieces.encode(docs, tokenizer("piece_bpe_32k.model")).collect()
-    assert all(r.round_trip for r in got)
+    assert all(r.round_trip for r in got) and all(r.decoded == (t.text or "") for r, t in zip(got, docs.collect(), strict=True))
+
+
+def test_piece_normaliser_is_the_models():
     fst = pieces.transducer(tokenizer("piece_bpe_32k.model"))
+    assert (fst.normal.start, fst.normal.arcs, fst.normal(""), fst.normal(" a")) == ("▁", {32: "▁"}, "", "▁▁a")
+    assert list(pieces.fields(bytes([8, 150, 1, 18, 2, 65, 66, 29, 0, 0, 128, 63]))) == [(1, 150), (2, b"AB"), (3, bytes([0, 0, 128, 63]))]
 
-    def cost(ids):
-        return sum(fst.fallback if i in fst.of_byte else fst.price[i] for i in ids)
 
-    def brute(part):
-        best = [0.0] + [float("inf")] * len(part)
-        for b in range(1, len(part) + 1):
-            for a in range(b):
-                best[b] = min(best[b], best[a] + fst.spelled.get(part[a:b], float("inf")), best[a] + fst.fallback * len(part[a:b].encode()))
-        return best[-1]
+def test_pieces_of_long_texts():
+    import time
+
+    import sentencepiece
 
-    for part in ("▁hello", "▁unbelievable", "▁▁▁x", "漢字", "▁Straße"):
-        assert cost(fst.shortest(part)) == pytest.approx(brute(part))
+    path = tokenizer("piece_bpe_32k.model")
+    fst, model, rng = pieces.transducer(path), sentencepiece.SentencePieceProcessor(model_file=path), random.Random(6)
+    found = ["a" * 50_000, "".join(rng.choices("etaoinshrdlu漢", k=200_000)), " " * 50_000, "word " * 100_000]
+    start = time.time()
+    got = [fst.encode(x) for x in found]
+    assert time.time() - start < 60
+    assert got == [model.encode(x) for x in found]
 
 
 def test_pieces_are_those_of_sentencepiece(spark, docs):
