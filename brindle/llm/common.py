@@ -110,15 +110,17 @@ def forget(*tables: DataFrame) -> None:
         spark._jvm.System.gc()
 
 
-def hot_join(rows: DataFrame, facts: DataFrame, key: str | list[str], count: str, total: int, how: str = "inner") -> DataFrame:
-    """rows joined with facts, of which each key has one row. `count` is a column of facts: how many of about `total` rows
-    have the key, at least. Keys of more than one row in 256 are at most 255: a broadcast of proven size keeps their rows
-    where they are."""
+def hot_join(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined with facts, a written table of which each key has one row. `count` is a column of facts: how many of
+    about `total` rows have the key, at least. Keys of more than one row in 256 are at most 255: they are collected, and a
+    broadcast keeps their rows where they are. Joins without such keys are plain; Spark splits skewed partitions."""
     hot = F.col(count) * 256 > total
-    few, rest = facts.where(hot), facts.where(~hot)
-    keys = [key] if isinstance(key, str) else key
-    others = rows.join(F.broadcast(few.select(keys)), keys, "left_anti").join(rest, keys, how)
-    return rows.join(F.broadcast(few), keys).unionByName(others)
+    few = facts.where(hot).collect()
+    if not few:
+        return rows.join(facts, key, how)
+    few = rows.sparkSession.createDataFrame(few, facts.schema)
+    others = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(facts.where(~hot), key, how)
+    return rows.join(F.broadcast(few), key).unionByName(others)
 
 
 def with_facts(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, map_texts, written
+from .common import forget, hot_join, ids_and_texts, map_texts, row_key, written
 
 LINK_BITS = 3
 
@@ -42,14 +42,17 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(sum(1 << i for i in np.flatnonzero(total * 2 > len(h)).tolist()))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) for each row."""
+def fingerprints(docs: DataFrame, more: str = "") -> DataFrame:
+    """doc_id and fp (the 64 bits as a signed long) for each row, and what further column `more` declares of docs."""
+    name = more.split(" ")[0]
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(x) for x in batch.column(1).to_pylist()], np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        kept = [batch.column(2)] if more else []
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *kept], names=["doc_id", "fp", *([name] if more else [])])
 
-    return map_texts(ids_and_texts(docs), each, "doc_id long, fp long")
+    rows = docs.select("doc_id", "text", name) if more else ids_and_texts(docs)
+    return map_texts(rows, each, "doc_id long, fp long" + (f", {more}" if more else ""))
 
 
 def counts(x: Column) -> Column:
@@ -108,36 +111,44 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(own, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         after = written(small.where("a > b").distinct(), "edges")
         same = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        forget(now)
         now = after
         if same:
             break
     else:
         raise RuntimeError(f"components: not settled after {rounds} rounds")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out = roots.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    out.brindle_folder = now.brindle_folder
+    return out
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id reachable, for each row."""
-    found = written(fingerprints(docs), "fingerprints")
+def marked(found: DataFrame) -> DataFrame:
+    """The columns of found (a written table with doc_id and fp), root, the least fingerprint of the group, and component_id."""
     groups = written(found.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "groups")
     linked = written(links(groups.select("fp")), "links")
     comp = components(linked)
     tied = groups.join(comp, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     ids = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    final = written(tied.join(ids, "root").select("fp", "n", "component_id"), "tied")
-    # fingerprints of more than one row in 256 are at most 255: a broadcast of proven size keeps their rows in place
-    total = found.count()
-    hot = final.where(F.col("n") * 256 > total)
-    cold = final.where(F.col("n") * 256 <= total)
-    marked = found.join(F.broadcast(hot.select("fp", "component_id")), "fp").select("doc_id", "fp", "component_id")
-    others = found.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold.select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
-    return marked.unionByName(others).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    final = written(tied.join(ids, "root").select("fp", "n", "root", "component_id"), "tied")
+    forget(groups, linked, comp)
+    return hot_join(found, final, "fp", "n", found.count())
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits) and component_id, the least doc_id reachable, for each row."""
+    out = marked(written(fingerprints(docs), "fingerprints"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, of which one of each near-duplicate group stays: the one with the least doc_id.
-    Rows without an id cannot be told by it: of those one of each text stays."""
-    keep = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """The rows of docs, all columns, of which one of each near-duplicate group stays: the one with the least doc_id, of
+    equal ids the one of the lesser row key; two groups may have one id. Rows without an id: of those one of each text stays."""
+    rows = ids_and_texts(docs).withColumn("key", row_key())
+    found = written(fingerprints(rows, "key binary"), "fingerprints")
+    keep = marked(found).where("doc_id = component_id").groupBy("root").agg(F.min("key").alias("_row_key")).select("_row_key")
+    keep = written(keep, "kept")
     nameless = docs.where("doc_id is null").dropDuplicates(["text"])
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(nameless)
+    # columns of docs of any name are out of the way in a struct
+    whole = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("_row_key"))
+    return whole.join(keep, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select("row.*").unionByName(nameless)

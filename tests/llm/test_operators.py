@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from brindle.llm import language, media, mixing, pieces, repeats, secrets, simhash, sketch, substring, suffix_dedup, token_counts
+from brindle.llm import language, media, mixing, pieces, repeats, secrets, similar, simhash, sketch, substring, suffix_dedup, token_counts
 from brindle.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, key string, part string, runs string"
@@ -411,3 +411,27 @@ def test_tokens_of_long_pieces():
     got = token_counts.counter(path).count(found)
     assert time.time() - start < 60
     assert got == [len(t.encode(x, add_special_tokens=False)) for x in found]
+
+
+def test_names_that_clash_and_rows_without_an_id(spark):
+    """Columns named as the operators' own are kept, null ids are rows like others, and what has no words changes nothing."""
+    names = ["_words", "row", "copies", "p", "n_tokens", "_row_key", "core", "held_out", "text_"]
+    rows = [(None, "some words for one row", *map(str, range(9))), (None, "other words for this row", *map(str, range(9))), (1, None, *map(str, range(9))), (2, "", *map(str, range(9)))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    # without learnable words every target is as far as before: rates are even, and whole rows come out
+    got = mixing.mix(frame, labels)
+    assert got.columns == frame.columns and {tuple(r) for r in got.collect()} <= set(rows)
+    assert secrets.redact_secrets(frame).columns == frame.columns
+    assert sorted(map(repr, map(tuple, secrets.redact_secrets(frame).collect()))) == sorted(map(repr, rows))
+    assert language.keep_identified(frame, language.learn(frame.selectExpr("*", "'en' AS lang"))).count() == 2
+    assert sketch.document_fingerprints(frame).count() == 4
+    assert simhash.keep_one(frame).count() == 3
+    assert similar.keep_one(frame).count() == 3 and similar.keep_one(frame).columns == frame.columns
+
+
+def test_two_labels_of_a_document_count_once(spark):
+    docs = spark.createDataFrame([(k, "good words" if k % 2 else "bad words") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 1 - k % 2) for k in range(40)] + [(1, 0, 1)] * 3, "doc_id long, quality int, toxic int")
+    prior, _ = mixing.learn(docs, labels)
+    assert [round(2.718281828459045**x * 43) for x in prior] == [20, 1, 22]

@@ -60,3 +60,10 @@ def test_one_id_of_two_texts_keeps_both(spark):
     frame = spark.createDataFrame([(i, t, "k", "r") for i, t in rows], "doc_id long, text string, key string, root string")
     assert sorted(r.text for r in simhash.keep_one(frame).collect()) == sorted({t for _, t in rows})
     assert simhash.keep_one(frame).columns == frame.columns
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
