@@ -1,22 +1,28 @@
 """Repeated windows over a corpus, found through content-chosen phrases.
 
-Every window of `width` units (bytes or words) picks the least hash of the `gram`-unit strings within it. Consecutive
-windows that pick one place form a phrase, which overlaps its neighbours so that each window lies in exactly one
-phrase. Equal windows lie at equal places of phrases with equal anchors, hence
-1. phrases are digested and equal phrases are joined to one dictionary entry by groupBy (pre-aggregated, so a hot
-   passage is one row per map task);
-2. only entries whose anchor occurs in another entry have their windows compared, once per entry and not per copy, in
-   blocks of `block` windows by their distance from the anchor. All windows of a block hold its core; its span holds them
-   all. An unshared core means that none is repeated, a shared span that all are; only the windows of blocks whose core
-   is shared by an entry that its span does not settle, the ends of repeats, are compared one by one;
+Every window of `width` units (bytes or words) picks the least rolling hash of the `gram`-unit strings within it, its
+trigger. Consecutive windows that pick one place form a phrase, which overlaps its neighbours so that each window lies in
+exactly one phrase. Equal windows lie at equal places of phrases with equal triggers, hence
+1. equal phrases are joined to one dictionary entry by groupBy (pre-aggregated, so a hot passage is one row per map task);
+2. only entries whose trigger occurs in another entry have their windows compared, once per entry and not per copy, in
+   blocks of `block` windows by their distance from the trigger. All windows of a block hold its core; its span holds
+   them all. An unshared core means that none is repeated, a shared span that all are; only the windows of blocks whose
+   core is shared by an entry that its span does not settle, the ends of repeats, are compared one by one, by what each
+   adds to the core on both sides;
 3. the windows found are dealt back to the entries' occurrences and from there to documents.
-No pairs of documents or entries are ever made. Windows are compared by 64-bit digests.
+No pairs of documents or entries are ever made.
+
+Phrases, cores and spans are told by 128-bit BLAKE2 digests of their bytes. The windows of one core are told by sums of
+64-bit values that new random keys give to each unit at each place, so that no texts can be made to collide, and two
+given windows do so by a chance of 2**-64. Keys of the joins by core, span and entry that hold
+more than one row in 256 are at most 255; they are broadcast and their rows stay where they are.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+import secrets
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +30,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, ragged, map_texts, row_key, words, written
+from .common import SPACE, forget, hot_join, ids_and_texts, map_texts, ragged, row_key, words, written
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-PLACE_BITS = 28
+#: Bits of a place within a text; a text of an Arrow batch is shorter.
+PLACE_BITS = 32
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -46,16 +53,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-class Digests:
-    """Digests of any run of units from prefix sums modulo 2**64."""
-
-    def __init__(self, units: np.ndarray):
-        n = len(units)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(units * powers(INVERSE, n), dtype=np.uint64)))
-        self.up = powers(BASE, n + 1)
-
-    def runs(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.sums[end] - self.sums[start]) * self.up[start])
+def rolling(units: np.ndarray, gram: int) -> np.ndarray:
+    """The rolling hash of every run of `gram` units, from prefix sums modulo 2**64. It only chooses triggers."""
+    n = len(units)
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(units * powers(INVERSE, n), dtype=np.uint64)))
+    return mixed((sums[gram:] - sums[: n + 1 - gram]) * powers(BASE, n + 1 - gram))
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -68,140 +70,191 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def byte_units(raw: np.ndarray, at: np.ndarray):
+class Bytes:
+    """A text as its bytes."""
+
+    kind = np.uint8
     table = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        yield table[raw[a:b]]
 
+    def __init__(self, values: np.ndarray):
+        self.values, self.raw = values, values.tobytes()
 
-def word_units(raw: np.ndarray, at: np.ndarray):
-    starts, ends, before = words(raw, at)
-    whole = raw.tobytes()
-    known: dict[bytes, int] = {}
+    def __len__(self) -> int:
+        return len(self.values)
 
-    def digest(word: bytes) -> int:
-        if (h := known.get(word)) is None:
-            h = known[word] = xxhash.xxh3_64_intdigest(word)
-        return h
+    def hashes(self) -> np.ndarray:
+        return self.table[self.values]
 
-    spans = zip(starts.tolist(), ends.tolist(), strict=True)
-    units = np.fromiter((digest(whole[a:b]) for a, b in spans), np.uint64, len(starts))
-    for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
-        yield units[a:b]
+    def name(self, a: int, b: int, salt: bytes = b"") -> bytes:
+        return hashlib.blake2b(self.raw[a:b], digest_size=16, salt=salt).digest()
 
+    @staticmethod
+    def read(raw: np.ndarray, at: np.ndarray) -> Iterator[Bytes]:
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            yield Bytes(raw[a:b])
 
-def phrases(units: np.ndarray, width: int, gram: int):
-    """First and last window start, anchor digest, phrase digest and anchor place of each phrase of one text."""
-    n = len(units)
+
+class Words:
+    """A text as its words: their 64-bit hashes, and their bytes with a space after each."""
+
+    kind = np.uint64
+
+    def __init__(self, values: np.ndarray, raw: bytes, at: np.ndarray):
+        self.values, self.raw, self.at = values, raw, at
+
+    def __len__(self) -> int:
+        return len(self.values)
+
+    def hashes(self) -> np.ndarray:
+        return self.values
+
+    def name(self, a: int, b: int, salt: bytes = b"") -> bytes:
+        return hashlib.blake2b(self.raw[self.at[a] : self.at[b]], digest_size=16, salt=salt).digest()
+
+    @staticmethod
+    def read(raw: np.ndarray, at: np.ndarray) -> Iterator[Words]:
+        starts, ends, before = words(raw, at)
+        whole = raw.tobytes()
+        known: dict[bytes, int] = {}
+
+        def digest(word: bytes) -> int:
+            if (h := known.get(word)) is None:
+                h = known[word] = xxhash.xxh3_64_intdigest(word)
+            return h
+
+        spans = zip(starts.tolist(), ends.tolist(), strict=True)
+        values = np.fromiter((digest(whole[a:b]) for a, b in spans), np.uint64, len(starts))
+        # the bytes of all words, one space after each
+        inside, places = ~SPACE[raw], np.concatenate(([0], np.cumsum(ends - starts + 1)))
+        joined = np.full(places[-1], 32, np.uint8)
+        joined[np.arange(inside.sum()) + np.repeat(np.arange(len(starts)), ends - starts)] = raw[inside]
+        for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
+            yield Words(values[a:b], joined[places[a] : places[b]].tobytes(), places[a : b + 1] - places[a])
+
+
+def phrases(text: Bytes | Words, width: int, gram: int):
+    """First and last window start, trigger's hash and place of each phrase of one text."""
+    n = len(text)
     if n < width:
         return None
-    d = Digests(units)
-    at = np.arange(n - gram + 1)
-    grams = d.runs(at, at + gram)
+    grams = rolling(text.hashes(), gram)
     low = np.uint64(PLACE_BITS)
-    least = sliding_least((grams >> low << low) | at.astype(np.uint64), width - gram + 1)
+    least = sliding_least((grams >> low << low) | np.arange(len(grams), dtype=np.uint64), width - gram + 1)
     place = (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
     first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
     last = np.append(first[1:], len(place)) - 1
-    picked = place[first]
-    shape = ((picked - first).astype(np.uint64) << np.uint64(32)) | (last - first).astype(np.uint64)
-    return first, last, grams[picked], mixed(d.runs(first, last + width) ^ mixed(shape + np.uint64(1))), picked
-
-
-def blocks_of(d: Digests, n: int, first: int, last: int, place: int, width: int, block: int) -> tuple[np.ndarray, ...]:
-    """The blocks of a phrase of a text of n units: first and last window start, digests of core and span (zero where the
-    text ends before it does). The digests tell blocks of unequal distance from the anchor apart."""
-    k = np.arange((place - last) // block, (place - first) // block + 1)
-    end = place - k * block
-    start = end - block + 1
-    key = mixed(k.astype(np.uint64) + np.uint64(1))
-    core = mixed(d.runs(end, start + width) ^ key)
-    whole = (start >= 0) & (end + width <= n)
-    span = np.where(whole, mixed(d.runs(np.where(whole, start, 0), np.where(whole, end + width, 0)) ^ key), np.uint64(0))
-    return np.maximum(start, first), np.minimum(end, last), core, span
+    return first, last, grams[place[first]], place[first]
 
 
-def signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def blocks_of(text: Bytes | Words, first: int, last: int, place: int, width: int, block: int) -> Iterator[tuple]:
+    """Each block of a phrase: first and last window start, names of core and span (none where the text ends before it
+    does), which tell blocks of unequal distance from the trigger apart, and the units on both sides of the core."""
+    n, side = len(text), block - 1
+    for k in range((place - last) // block, (place - first) // block + 1):
+        end = place - k * block
+        start, salt = end - side, k.to_bytes(8, "little", signed=True)
+        span = text.name(start, end + width, salt) if start >= 0 and end + width <= n else None
+        edge = np.zeros(2 * side, text.kind)
+        left, right = text.values[max(start, 0) : end], text.values[start + width : end + width]
+        edge[side - len(left) : side] = left
+        edge[side : side + len(right)] = right
+        yield max(start, first), min(end, last), start, text.name(end, start + width, salt), span, edge.tobytes()
 
 
-def window_repeats(docs: DataFrame, units: Callable, width: int, gram: int, block: int, earlier: bool) -> DataFrame:
+def window_repeats(docs: DataFrame, units: type[Bytes] | type[Words], width: int, gram: int, block: int, earlier: bool) -> DataFrame:
     """key, text, doc_id and `runs`: window starts [first, last] that are repeated. earlier: only if a smaller doc_id has
     the window (a null id is smaller than none and none is smaller than it); else if it starts anywhere else."""
-    rows = ids_and_texts(docs).withColumn("key", row_key())
-    keyed = rows
-    no_id = (1 << 63) - 1
+    keyed = ids_and_texts(docs).withColumn("key", row_key())
+    no_id, side = (1 << 63) - 1, block - 1
 
     def find(batch: pa.RecordBatch) -> pa.RecordBatch:
-        parts = []
-        keys, ids = batch.column(2).to_pylist(), batch.column(0).to_pylist()
-        for key, doc, u in zip(keys, ids, units(*ragged(batch)), strict=True):
-            if (p := phrases(u, width, gram)) is not None:
-                n = len(p[0])
-                parts.append((np.full(n, key, np.int64), np.full(n, no_id if doc is None else doc, np.int64), *p))
-        cols = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3]), signed(cols[4]), signed(cols[5]), pa.array(cols[6] - cols[2])], names=["key", "id", "first", "last", "anchor", "entry", "place"])
-
-    found = written(map_texts(keyed, find, "key long, id long, first long, last long, anchor long, entry long, place long"), "phrases")
+        keys, ids, names, parts = [], [], [], []
+        for key, doc, text in zip(batch.column(2).to_pylist(), batch.column(0).to_pylist(), units.read(*ragged(batch)), strict=True):
+            if (p := phrases(text, width, gram)) is not None:
+                keys += [key] * len(p[0])
+                ids += [no_id if doc is None else doc] * len(p[0])
+                names += [text.name(a, b + width) for a, b in zip(p[0].tolist(), p[1].tolist(), strict=True)]
+                parts.append(p)
+        first, last, anchor, place = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+        arrays = [pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(first), pa.array(last), pa.array(anchor.view(np.int64)), pa.array(names, pa.binary()), pa.array(place - first)]
+        return pa.RecordBatch.from_arrays(arrays, names=["key", "id", "first", "last", "anchor", "entry", "place"])
+
+    found = written(map_texts(keyed, find, "key binary, id long, first long, last long, anchor long, entry binary, place long"), "phrases")
     entries = found.groupBy("entry", "anchor").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.max("id").alias("most"), F.min(F.struct("key", "first", "last", "place")).alias("at"))
     entries = written(entries, "entries")
-    shared = entries.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor")
-    # entries of one anchor are distinct texts, so this join has one row on the right for each and any number on the left
-    compared = entries.join(shared, "anchor", "left_semi").select("entry", "n", "least", "at.*")
-    asked = compared.groupBy("key").agg(F.collect_list(F.struct("entry", "n", "least", "first", "last", "place")).alias("asked"))
+    shared = entries.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1")
+    # entries of one trigger are distinct texts
+    asked = entries.join(shared, "anchor", "left_semi").select("entry", "n", "least", "at.*")
+    asked = asked.groupBy("key").agg(F.collect_list(F.struct("entry", "n", "least", "first", "last", "place")).alias("asked"))
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        facts, cores, spans, windows, ends = [], [], [], [], [0]
+        out: list[list] = [[] for _ in range(9)]
         done = set()
-        for u, wanted, key in zip(units(*ragged(batch)), batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for text, wanted, key in zip(units.read(*ragged(batch)), batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True):
             if key in done:
                 continue
             done.add(key)
-            d = Digests(u)
             for w in wanted:
-                start, end, core, span = blocks_of(d, len(u), w["first"], w["last"], w["first"] + w["place"], width, block)
-                at = np.arange(start[-1], end[0] + 1)
-                found = d.runs(at, at + width)
-                cores.append(core)
-                spans.append(span)
-                for a, b in zip((start - start[-1]).tolist(), (end - start[-1] + 1).tolist(), strict=True):
-                    facts.append((w["entry"], w["n"], w["least"], a))
-                    windows.append(found[a:b])
-                    ends.append(ends[-1] + b - a)
-        columns = np.ascontiguousarray(np.array(facts, np.int64).reshape(-1, 4).T)
-        none = [np.zeros(0, np.uint64)]
-        core, span = np.concatenate(cores or none), np.concatenate(spans or none)
-        # a value of its own where there is no span
-        span = np.where(span == 0, mixed(core ^ columns[0].view(np.uint64)), span)
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(np.concatenate(windows or none)))
-        arrays = [*map(pa.array, columns), signed(core), signed(span), lists]
-        return pa.RecordBatch.from_arrays(arrays, names=["entry", "n", "least", "offset", "core", "span", "windows"])
-
-    blocks = written(map_texts(keyed.join(asked, "key").select("doc_id", "text", "key", "asked"), compare, "entry long, n long, least long, offset long, core long, span long, windows array<long>"), "blocks")
-    cores = blocks.groupBy("core").agg(F.count("*").alias("m"), F.min("least").alias("core_low")).where("m > 1").drop("m")
-    spans = blocks.groupBy("span").agg(F.count("*").alias("m"), F.min("least").alias("span_low")).where("m > 1").drop("m")
+                f = w["first"]
+                for a, b, start, core, span, edge in blocks_of(text, f, w["last"], f + w["place"], width, block):
+                    for column, value in zip(out, (w["entry"], w["n"], w["least"], a - f, a - start, b - a + 1, core, span, edge), strict=True):
+                        column.append(value)
+        kinds = [pa.binary(), *[pa.int64()] * 5, *[pa.binary()] * 3]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=["entry", "n", "least", "offset", "skip", "size", "core", "span", "edge"])
+
+    blocks = written(map_texts(keyed.join(asked, "key").select("doc_id", "text", "key", "asked"), compare, "entry binary, n long, least long, offset long, skip long, size long, core binary, span binary, edge binary"), "blocks")
+    many = blocks.count()
+    cores = written(blocks.groupBy("core").agg(F.count("*").alias("m"), F.min("least").alias("core_low")).where("m > 1"), "cores")
+    spans = written(blocks.where("span is not null").groupBy("span").agg(F.count("*").alias("m"), F.min("least").alias("span_low")).where("m > 1"), "spans")
     whole = F.coalesce(F.col("span_low") < F.col("least") if earlier else F.col("span_low").isNotNull(), F.lit(False))
     unsettled = F.col("core_low") < F.col("least") if earlier else F.col("n") == 1
-    judged = blocks.select("entry", "n", "least", "offset", "core", "span", F.size("windows").alias("size")).join(cores, "core").join(spans, "span", "left")
+    cored = hot_join(blocks.select("entry", "n", "least", "offset", "size", "core", "span"), cores, "core", "m", many).drop("m")
+    # no span matches another: such rows are dealt apart
+    cored = cored.withColumn("span", F.coalesce("span", F.concat("core", "entry")))
+    judged = hot_join(cored, spans, "span", "m", many, "left")
     judged = written(judged.select("entry", "offset", "size", "core", whole.alias("whole"), (unsettled & ~whole).alias("open")), "judged")
-    opened = judged.where("open").select("core").distinct()
-    windows = blocks.join(opened, "core", "left_semi").select("entry", "n", "least", "offset", F.posexplode("windows").alias("k", "window")).select("entry", "n", "least", (F.col("offset") + F.col("k")).alias("offset"), "window")
+    opened = written(cores.select("core", "m").join(judged.where("open").select("core").distinct(), "core"), "opened")
+    random = np.array([secrets.randbits(64) for _ in range(2 * side)], np.uint64)
+
+    def windows_of(batches):
+        for batch in batches:
+            if not (rows := batch.num_rows):
+                continue
+            edge = np.frombuffer(b"".join(batch.column(5).to_pylist()), units.kind).reshape(rows, 2 * side).astype(np.uint64)
+            edge = mixed(edge + random)
+            sums = np.zeros((rows, block), np.uint64)
+            sums[:, :side] = np.cumsum(edge[:, :side][:, ::-1], axis=1, dtype=np.uint64)[:, ::-1]
+            sums[:, 1:] += np.cumsum(edge[:, side:], axis=1, dtype=np.uint64)
+            skip, size, offset = (batch.column(k).to_numpy()[:, None] for k in (3, 4, 2))
+            at = np.arange(block)[None, :]
+            row, place = np.nonzero((at >= skip) & (at < skip + size))
+            pick = pa.array(row)
+            core = np.frombuffer(b"".join(x[:8] for x in batch.column(6).to_pylist()), np.int64)
+            arrays = [batch.column(0).take(pick), batch.column(1).take(pick), batch.column(7).take(pick), pa.array((offset + at - skip)[row, place]), pa.array(core[row]), pa.array(sums[row, place].view(np.int64))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["entry", "n", "least", "offset", "core", "window"])
+
+    edges = hot_join(blocks.select("entry", "n", "offset", "skip", "size", "edge", "core", "least"), opened, "core", "m", many)
+    windows = edges.select("entry", "n", "offset", "skip", "size", "edge", "core", "least").mapInArrow(windows_of, "entry binary, n long, least long, offset long, core long, window long")
+    windows = written(windows, "windows")
     if earlier:
-        hit = windows.groupBy("window").agg(F.min("least").alias("low"), F.max("least").alias("high")).filter("low < high").select("window", "low")
-        back = windows.join(hit, "window").filter("least > low")
+        hit = windows.groupBy("core", "window").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low < high").drop("high")
+        back = windows.join(hit, ["core", "window"]).where("least > low")
     else:
-        hit = windows.groupBy("window").agg(F.sum("n").alias("all")).filter("all > 1").select("window")
-        back = windows.filter("n = 1").join(hit, "window", "left_semi")
+        hit = windows.groupBy("core", "window").agg(F.sum("n").alias("all")).where("all > 1").drop("all")
+        back = windows.where("n = 1").join(hit, ["core", "window"], "left_semi")
     single = back.select("entry", F.col("offset").alias("a"), F.col("offset").alias("b"))
     spread = judged.where("whole").select("entry", F.col("offset").alias("a"), (F.col("offset") + F.col("size") - 1).alias("b"))
     offsets = single.unionByName(spread).groupBy("entry").agg(F.collect_list(F.struct("a", "b")).alias("offsets"))
     known = entries.select("entry", "n", "least", "most").join(offsets, "entry", "left")
-    known = written(known.filter("least < most" if earlier else "n > 1").select("entry", "n", "least", "offsets").unionByName(known.filter(("least >= most" if earlier else "n = 1") + " and offsets is not null").select("entry", "n", "least", "offsets")), "known")
+    all_of = "least < most" if earlier else "n > 1"
+    known = written(known.where(f"{all_of} or offsets is not null").select("entry", "n", "least", "offsets"), "known")
+    forget(entries, blocks, cores, spans, judged, opened, windows)
     whole = (F.col("id") > F.col("least")) if earlier else (F.col("n") > 1)
     part = F.transform("offsets", lambda o: F.struct((F.col("first") + o["a"]).alias("a"), (F.col("first") + o["b"]).alias("b")))
     runs = F.when(whole, F.array(F.struct(F.col("first").alias("a"), F.col("last").alias("b")))).otherwise(part)
-    marks = found.join(known, "entry").select("key", runs.alias("runs")).filter("runs is not null")
-    marks = marks.groupBy("key").agg(F.flatten(F.collect_set("runs")).alias("runs"))
+    marks = hot_join(found, known, "entry", "n", found.count()).select("key", runs.alias("runs")).where("runs is not null")
+    marks = written(marks.groupBy("key").agg(F.flatten(F.collect_set("runs")).alias("runs")), "marks")
+    forget(found, known)
     return keyed.join(marks, "key", "left").select("doc_id", "text", "key", "runs")
 
 

@@ -1,11 +1,13 @@
-"""Substring dedup over words, as a parse relative to all earlier documents.
+"""Substring dedup over words: what an earlier document holds goes.
 
-Each document is factored greedily against the indexed phrases of documents with smaller ids: a factor starts at the
-first window of `width` words that the index holds and grows while the next window is held too, so every factor has at
-least `width` words; the words between factors are literals. Factors are the duplicate spans.
+The reference is the dictionary of distinct phrases of all documents with the least id of each (repeats.py). A factor is a
+maximal run of windows of `width` words that documents of smaller ids hold, found by windows and not by matching word by
+word against reference blocks as relative Lempel-Ziv parsing does: the README says why, with figures. Factors are the
+duplicate spans, the words between them literals.
 
-Edge cases: null texts have no words; a null id is later than none and earlier than none; rows that repeat an id and
-text get equal results; further columns are ignored.
+Edge cases: null texts have no words; texts of fewer than `width` words keep all; a null id is later than none and earlier
+than none; rows that repeat an id and text get equal results; further columns are ignored; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_texts
-from .repeats import covered, n_runs, sha, window_repeats, word_units
+from .repeats import Words, covered, n_runs, sha, window_repeats
 
 WIDTH, GRAM, BLOCK = 50, 12, 10
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long, kept string"
@@ -34,4 +36,4 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, bloc
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "n_factors", "kept"])
 
-    return map_texts(window_repeats(docs, word_units, width, gram, block, earlier=True), each, SCHEMA)
+    return map_texts(window_repeats(docs, Words, width, gram, block, earlier=True), each, SCHEMA)

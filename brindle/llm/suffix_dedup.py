@@ -1,10 +1,12 @@
-"""Byte-level removal of long repeated strings by prefix-free phrases.
+"""Byte-level removal of long repeated strings, as in prefix-free parsing but without suffix arrays.
 
-Content-chosen trigger strings cut all texts into overlapping phrases; the distinct phrases are the dictionary, and
-places of equal strings are found among dictionary entries whose trigger recurs instead of among all suffixes.
+Triggers chosen by a rolling hash cut all texts into overlapping phrases; the distinct phrases are the dictionary. Where
+prefix-free parsing sorts the suffixes of dictionary and parse, here equal windows are found among dictionary entries
+whose trigger recurs (repeats.py): the README says why, with figures.
 
-Edge cases: null texts are empty; every row is its own document, so rows that repeat an id and text are copies of each
-other and are removed; further columns are ignored.
+Edge cases: null texts are empty; texts of fewer than `width` bytes keep all; every row is its own document, so rows that
+repeat an id and text are copies of each other and are removed; further columns are ignored; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_texts
-from .repeats import byte_units, covered, n_runs, sha, window_repeats
+from .repeats import Bytes, covered, n_runs, sha, window_repeats
 
 WIDTH, GRAM, BLOCK = 400, 48, 32
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -34,4 +36,4 @@ def dedup_bytes(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block: in
         kinds = [pa.int64()] * 3 + [pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return map_texts(window_repeats(docs, byte_units, width, gram, block, earlier=False), each, SCHEMA)
+    return map_texts(window_repeats(docs, Bytes, width, gram, block, earlier=False), each, SCHEMA)
