@@ -21,6 +21,7 @@ empty table; work grows with the length of a text.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -30,13 +31,12 @@ from operator import itemgetter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from .common import ids_and_texts, map_texts
 
 SPACE = "▁"
-CACHE, LONG, PAIRS = 400_000, 64, 2_000_000
+CACHE, LONG, PAIRS = 200_000, 64, 500_000
 SCHEMA = "doc_id long, n_pieces long, n_bytes_pieces long, ids array<int>, ids_sha256 string, decoded string, round_trip boolean"
 
 
@@ -110,7 +110,9 @@ class Normaliser:
         self.start = (SPACE if self.arcs else " ") if found.get(self.PREFIX, 1) else ""
 
     def __call__(self, text: str) -> str:
-        return self.start + text.translate(self.arcs) if text else ""
+        for letter, out in self.arcs.items():
+            text = text.replace(chr(letter), out)
+        return self.start + text if text else ""
 
     def back(self, text: str) -> str:
         """The text of an output, which is the text itself but for U+2581 that it had."""
@@ -144,7 +146,7 @@ class Transducer:
         self.raw = [bytes([self.of_byte[i]]) if i in self.of_byte else p.encode() for i, p in enumerate(self.pieces)]
         self.decimal = [str(i) for i in range(len(self.pieces))]
         self.is_byte = np.array([i in self.of_byte for i in range(len(self.pieces))])
-        self.parts = regex.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+        self.parts = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
     def by_bytes(self, letter: str) -> tuple[int, tuple[int, ...]]:
         """The arc of byte fallback."""
@@ -195,11 +197,12 @@ class Transducer:
     def path(self, part: str) -> tuple[int, ...]:
         """The ids on the shortest path: the one whose neighbours are all merge-consistent."""
         n, fits = len(part), self.fits
-        back: list[tuple[int, tuple[int, ...]] | None] = [(0, (-1,))] + [None] * n
-        for end, (length, ids) in self.arcs(part):
+        back: list[tuple[int, tuple[int, ...]] | None] = [None] * (n + 1)
+        last: list[int | None] = [-1] + [None] * n
+        for end, arc in self.arcs(part):
             end += 1
-            if back[end] is None and fits[back[end - length][1][-1], ids[0]]:
-                back[end] = length, ids
+            if last[end] is None and fits[last[end - arc[0]], arc[1][0]]:
+                back[end], last[end] = arc, arc[1][-1]
         out: list[tuple[int, ...]] = []
         while n:
             length, ids = back[n]
