@@ -35,7 +35,11 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     if not found:
         return 0
     grams = map(b" ".join, zip(*(found[i:] for i in range(shingle)), strict=False)) if len(found) >= shingle else [b" ".join(found)]
-    h = np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), np.uint64)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(g, seed) for g in grams), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
     total = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         total += np.unpackbits(h[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)

@@ -1,9 +1,13 @@
-"""Near-duplicates by the similarity of five-word shingles, exactly: every pair of Jaccard similarity 0.8 or more is linked.
+"""Near-duplicates by SimHash and the similarity of five-word shingles: every pair of Jaccard similarity 0.8 or more is linked.
 
-Rows of equal shingle sets are one set. Two sets of n and m shingles that are similar enough share one of the first
-n - ceil(0.8 n) + 1 and first m - ceil(0.8 m) + 1 shingles of one common order. The order is by hash, those met in many
-texts of a sample last; it decides how many pairs are looked at, not which are found. Of the sets that share such a
-shingle each is first compared with the least of them, if enough of their first shingles are shared; then those pairs are compared that are not yet tied together.
+Rows of equal shingle sets are one set. Sets are told by SimHash first: fingerprints of their shingles are embedded and
+joined as in simhash.py, and those of at most three differing bits are compared by their shingles. Bits cannot promise a
+similarity, so what they leave is found by shingles, exactly: two sets of n and m shingles that are similar enough share
+one of the first n - ceil(0.8 n) + 1 and first m - ceil(0.8 m) + 1 shingles of one common order. The order is by hash,
+those met in many texts of a sample last; it decides how many pairs are looked at, not which are found. Of the sets that
+share such a shingle each is compared with the least of them, if enough of their first shingles are shared; then those
+pairs are compared that are not yet tied together and whose parities are near. A parity has PARITY bits, each set if an
+odd number of shingles falls on it; two of them differ in no more bits than the sets do in shingles.
 
 Edge cases: texts of fewer than five words are one shingle; null and empty texts are one set; of a group the row with
 the least doc_id stays (rows without an id come last, of equal ids the one of lesser hash), whatever ids are null or
@@ -19,11 +23,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, ids_and_texts, map_texts, row_key, written
-from .simhash import components
+from .simhash import components, links, majority
 
 SHINGLE = 5
 #: One text in SAMPLED says which shingles are common: those of at least MANY sampled texts, the MOST commonest at most.
 SAMPLED, MANY, MOST = 16, 4, 50_000
+#: Bits of a set's parity, a multiple of 64.
+PARITY = 512
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -51,22 +57,30 @@ def common(rows: DataFrame) -> np.ndarray:
     return np.sort(np.array([r.x for r in met.orderBy(F.desc("count"), "x").limit(MOST).collect()], np.int64))
 
 
+def parity(x: np.ndarray) -> np.ndarray:
+    odd = np.bincount(x & (PARITY - 1), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def leads(rows: DataFrame) -> DataFrame:
-    """doc_id, key, the hash of the shingle set, its size and its first shingles in the common order, for each row."""
+    """doc_id, key, the hash of the shingle set, its size, its SimHash, its parity and its first shingles in the common order, for each row."""
     often = common(rows)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        names, sizes, first = [], [], []
+        names, sizes, fps, parities, first = [], [], [], [], []
         for text in batch.column(1).to_pylist():
             x = shingles(text)
             names.append(xxhash.xxh64_intdigest(x.tobytes()))
             sizes.append(n := len(x))
+            fps.append(majority(x.view(np.uint64)))
+            parities.append(parity(x))
             late = often[np.minimum(np.searchsorted(often, x), len(often) - 1)] == x if len(often) else np.zeros(n, bool)
             first.append(np.concatenate((x[~late], x[late]))[: n - (4 * n + 4) // 5 + 1])
-        columns = [batch.column(0), batch.column(2), pa.array(np.array(names, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(first, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "name", "n", "first"])
+        signed = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (names, fps)]
+        columns = [batch.column(0), batch.column(2), signed[0], pa.array(sizes, pa.int64()), signed[1], pa.array(parities, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "name", "n", "fp", "parity", "first"])
 
-    return map_texts(rows, each, "doc_id long, key binary, name long, n long, first array<long>")
+    return map_texts(rows, each, "doc_id long, key binary, name long, n long, fp long, parity array<long>, first array<long>")
 
 
 def enough(shared: Column, n: Column, m: Column) -> Column:
@@ -74,12 +88,34 @@ def enough(shared: Column, n: Column, m: Column) -> Column:
     return shared * 9 >= (n + m) * 4
 
 
-def verified(pairs: DataFrame, groups: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the pairs of sets (a, b, of sizes n_a, n_b; once for each first shingle that both have) that are similar enough.
-    What two sets share beyond the first shingles of one of them is at most the rest of that one."""
+def near_parity(a: Column, b: Column, n: Column, m: Column) -> Column:
+    """False only for sets that differ in too many shingles to be similar enough."""
+    apart = sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, PARITY // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
+    return apart * 9 <= n + m
+
+
+def near_fingerprints(groups: DataFrame) -> DataFrame:
+    """Pairs of sets (a, b) with SimHashes of at most three differing bits: the sets of one with its least set, the least sets of two."""
+    head = written(groups.groupBy("fp").agg(F.min("name").alias("head")), "heads")
+    same = groups.select("fp", "name").join(head, "fp").where("name > head").select(F.col("head").alias("a"), F.col("name").alias("b"))
+    one, two = (head.select(F.col("fp").alias(s), F.col("head").alias(f"head_{s}")) for s in "ab")
+    linked = links(head.select("fp")).distinct().join(one, "a").join(two, "b").select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b"))
+    out = written(same.unionByName(linked), "near")
+    forget(head)
+    return out
+
+
+def plausible(pairs: DataFrame) -> DataFrame:
+    """Those of the pairs of sets (a, b, of sizes n_a, n_b; once for each first shingle that both have) that can be similar
+    enough: what two sets share beyond the first shingles of one of them is at most the rest of that one."""
     rest = F.greatest(*(F.floor((F.col(n) * 4 + 4) / 5) - 1 for n in ("n_a", "n_b")))
     counted = pairs.groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("shared"))
-    pairs = written(counted.where(enough(F.col("shared") + rest, F.col("n_a"), F.col("n_b"))).select("a", "b"), "pairs")
+    return counted.where(enough(F.col("shared") + rest, F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+
+def verified(pairs: DataFrame, groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the pairs of sets (a, b) that are similar enough, by their shingles."""
+    pairs = written(pairs, "pairs")
     names = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "name")
     keys = groups.join(names, "name").select("name", F.col("least.key").alias("key"))
     held = rows.join(keys.select("key"), "key", "left_semi").select("doc_id", "text", "key")
@@ -90,32 +126,48 @@ def verified(pairs: DataFrame, groups: DataFrame, rows: DataFrame) -> DataFrame:
     return out
 
 
+def fit() -> Column:
+    """No more can be shared than what stands before a shared shingle and after it in both."""
+    most = F.expr("least(at_a, at_b) + 1 + least(n_a - at_a - 1, n_b - at_b - 1)")
+    return enough(most, F.col("n_a"), F.col("n_b"))
+
+
+def untied(tied: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of sets (a, b, n_a, n_b) of different roots with a common first shingle, once for each, that can be similar
+    enough by its places and their parities. tied: x, name, n, at, root."""
+    open = tied.groupBy("x").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("x")
+    open = written(tied.join(open, "x", "left_semi").join(groups.select("name", "parity"), "name"), "open")
+    a, b = (open.select("x", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "at", "root", "parity"))) for s in "ab")
+    apart = (F.col("name_a") < F.col("name_b")) & (F.col("root_a") != F.col("root_b")) & fit()
+    near = near_parity(F.col("parity_a"), F.col("parity_b"), F.col("n_a"), F.col("n_b"))
+    out = written(a.join(b, "x").where(apart & near).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "n_a", "n_b"), "untied")
+    forget(open)
+    return out
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, of which one of each group tied by similarity stays: the least."""
     rows = ids_and_texts(docs).withColumn("key", row_key())
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
     found = written(leads(rows), "leads")
-    groups = written(found.groupBy("name").agg(F.min(order).alias("least"), F.first("n").alias("n"), F.first("first").alias("first")), "groups")
+    groups = written(found.groupBy("name").agg(F.min(order).alias("least"), *(F.first(c).alias(c) for c in ("n", "fp", "parity", "first"))), "groups")
+    near = near_fingerprints(groups)
     entries = groups.select("name", "n", F.posexplode("first").alias("at", "x"))
     held = entries.groupBy("x").agg(F.min(F.struct("name", "n", "at")).alias("head"), F.count("*").alias("many")).where("many > 1").select("x", "head")
     entries = written(entries.join(held, "x"), "entries")
-    # no more can be shared than what stands before a shared shingle and after it in both
-    most = F.least("at_a", "at_b") + 1 + F.least(F.expr("n_a - at_a - 1"), F.expr("n_b - at_b - 1"))
-    fit = enough(most, F.col("n_a"), F.col("n_b"))
     heads = entries.where("name > head.name").select(F.col("head.name").alias("a"), F.col("name").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b"), F.col("head.at").alias("at_a"), F.col("at").alias("at_b"))
-    star = verified(heads.where(fit), groups, rows)
+    heads = plausible(heads.where(fit()))
+    star = verified(near.unionByName(heads).distinct(), groups, rows)
     comp = components(star)
     roots = written(comp, "roots")
-    forget(comp)
+    forget(near, comp)
     tied = written(entries.join(roots, F.col("name") == F.col("node"), "left").select("x", "name", "n", "at", F.coalesce("root", "name").alias("root")), "tied")
-    a, b = (tied.select("x", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "at", "root"))) for s in "ab")
-    near = (F.col("name_a") < F.col("name_b")) & (F.col("root_a") != F.col("root_b")) & fit
-    rest = a.join(b, "x").where(near).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "n_a", "n_b")
-    more = verified(rest, groups, rows)
+    rest = untied(tied, groups)
+    more = verified(plausible(rest), groups, rows)
     comp = components(star.unionByName(more))
     final = groups.join(comp, F.col("name") == F.col("node"), "left").groupBy(F.coalesce("root", "name").alias("root")).agg(F.min("least").alias("least"))
     kept = written(final.select(F.col("least.key").alias("_row_key")), "kept")
-    forget(found, groups, entries, star, roots, tied, more, comp)
+    forget(found, groups, entries, star, roots, tied, rest, more, comp)
     # columns of docs of any name are out of the way in a struct
     whole = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("_row_key"))
     return whole.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select("row.*")

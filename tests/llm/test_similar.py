@@ -3,6 +3,9 @@
 import random
 
 import corpus_pipeline
+import numpy as np
+from brindle.llm import similar, simhash
+from pyspark.sql import functions as F
 
 
 def kept(rows):
@@ -54,3 +57,54 @@ def test_edited_copies_and_odd_ids(spark):
     frame = spark.createDataFrame(odd, "doc_id long, text string")
     assert sorted(r.text for r in corpus_pipeline.near_dedup(spark, frame, "").collect()) == ["a b c d e f g", "no id and no copy of it", "other words stand here alone now"]
     assert corpus_pipeline.near_dedup(spark, frame.where("false"), "").count() == 0
+
+
+def edited(rng, base, n, most):
+    """Copies of base, each with up to `most` words replaced by new ones."""
+    out = []
+    for k in range(n):
+        t = list(base)
+        for i in rng.sample(range(len(t)), rng.randint(0, most)):
+            t[i] = f"n{k}x{i}"
+        out.append(" ".join(t))
+    return out
+
+
+def test_stage_tells_sets_by_simhash(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(300)}" for _ in range(200)]
+    texts = edited(rng, base, 60, 3) + [" ".join(f"w{rng.randrange(300)}" for _ in range(60)) for _ in range(20)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.unhex(F.md5("text")))
+    rows = similar.leads(frame).collect()
+    assert [r.fp % (1 << 64) for r in sorted(rows, key=lambda r: r.doc_id)] == [simhash.majority(similar.shingles(t).view(np.uint64)) for t in texts]
+    of = {r.name: r.fp % (1 << 64) for r in rows}
+    head = {}
+    for name in sorted(of, reverse=True):
+        head[of[name]] = name
+    want = {(head[of[x]], x) for x in of if x != head[of[x]]}
+    want |= {tuple(sorted((head[f], head[g]))) for f in head for g in head if f < g and (f ^ g).bit_count() <= 3}
+    groups = spark.createDataFrame([(r.name, r.fp) for r in rows], "name long, fp long")
+    assert {tuple(r) for r in similar.near_fingerprints(groups).collect()} == want and want
+    # and the stage goes by them
+    seen, plain = [], similar.near_fingerprints
+    monkeypatch.setattr(similar, "near_fingerprints", lambda g: seen.append(1) or plain(g))
+    corpus_pipeline.near_dedup(spark, frame.drop("key"), "")
+    assert seen == [1]
+
+
+def test_few_pairs_of_a_group_of_edited_copies(spark):
+    rng = random.Random(6)
+    texts = edited(rng, [f"w{k}" for k in range(150)], 150, 16)
+    sets = [similar.shingles(t) for t in texts]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.unhex(F.md5("text")))
+    groups = similar.leads(frame)
+    tied = groups.select("name", "n", F.posexplode("first").alias("at", "x"), F.col("name").alias("root"))
+    n = {r.name: r.n for r in groups.select("name", "n").collect()}
+    got = {(r.a, r.b) for r in similar.untied(tied, groups).collect()}
+    name = {r.doc_id: r.name for r in groups.select("doc_id", "name").collect()}
+    shared = {(a, b): len(np.intersect1d(sets[a], sets[b])) for a in name for b in name if name[a] < name[b]}
+    alike = {(name[a], name[b]) for (a, b), s in shared.items() if 9 * s >= 4 * (n[name[a]] + n[name[b]])}
+    far = {(name[a], name[b]) for (a, b), s in shared.items() if 10 * s < 4 * (n[name[a]] + n[name[b]])}
+    assert alike and alike <= got
+    # before parities, all that shared a first shingle at a fit place were compared
+    assert len(far) > 1000 and len(far & got) * 20 < len(far)
