@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, ids_and_texts, map_texts, row_key, written
+from .common import forget, ids_and_texts, map_texts, row_key, sweep, written
 from .simhash import components, links, majority
 
 SHINGLE = 5
@@ -151,7 +151,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "key")
     found = written(leads(rows), "leads")
     groups = written(found.groupBy("name").agg(F.min(order).alias("least"), *(F.first(c).alias(c) for c in ("n", "fp", "parity", "first"))), "groups")
+    # what a step leaves goes before the next one; shuffle files go only when no frame of the step is left
+    forget(found)
     near = near_fingerprints(groups)
+    sweep(docs.sparkSession)
     entries = groups.select("name", "n", F.posexplode("first").alias("at", "x"))
     held = entries.groupBy("x").agg(F.min(F.struct("name", "n", "at")).alias("head"), F.count("*").alias("many")).where("many > 1").select("x", "head")
     entries = written(entries.join(held, "x"), "entries")
@@ -160,14 +163,16 @@ def keep_one(docs: DataFrame) -> DataFrame:
     star = verified(near.unionByName(heads).distinct(), groups, rows)
     comp = components(star)
     roots = written(comp, "roots")
+    del heads, held
     forget(near, comp)
     tied = written(entries.join(roots, F.col("name") == F.col("node"), "left").select("x", "name", "n", "at", F.coalesce("root", "name").alias("root")), "tied")
+    forget(entries, roots)
     rest = untied(tied, groups)
     more = verified(plausible(rest), groups, rows)
     comp = components(star.unionByName(more))
     final = groups.join(comp, F.col("name") == F.col("node"), "left").groupBy(F.coalesce("root", "name").alias("root")).agg(F.min("least").alias("least"))
     kept = written(final.select(F.col("least.key").alias("_row_key")), "kept")
-    forget(found, groups, entries, star, roots, tied, rest, more, comp)
+    forget(groups, star, tied, rest, more, comp)
     # columns of docs of any name are out of the way in a struct
     whole = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("_row_key"))
     return whole.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select("row.*")
