@@ -5,9 +5,10 @@ joined as in simhash.py, and those of at most three differing bits are compared
 similarity, so what they leave is found by shingles, exactly: two sets of n and m shingles that are similar enough share
 one of the first n - ceil(0.8 n) + 1 and first m - ceil(0.8 m) + 1 shingles of one common order. The order is by hash,
 those met in many texts of a sample last; it decides how many pairs are looked at, not which are found. Of the sets that
-share such a shingle each is compared with the least of them, if enough of their first shingles are shared; then those
-pairs are compared that are not yet tied together and whose parities are near. A parity has PARITY bits, each set if an
-odd number of shingles falls on it; two of them differ in no more bits than the sets do in shingles.
+share such a shingle each is compared with a drawn one, turn by turn, which ties nearly all of a large group at a cost
+that grows with its size; then those pairs are compared that are not yet tied together. Only sets of near parities are
+compared. A parity has PARITY bits, each set if an odd number of shingles falls on it; two of them differ in no more
+bits than the sets do in shingles.
 
 Edge cases: texts of fewer than five words are one shingle; null and empty texts are one set; of a group the row with
 the least doc_id stays (rows without an id come last, of equal ids the one of lesser hash), whatever ids are null or
@@ -30,6 +31,8 @@ SHINGLE = 5
 SAMPLED, MANY, MOST = 16, 4, 50_000
 #: Bits of a set's parity, a multiple of 64.
 PARITY = 512
+#: Sets meet drawn ones until no more than one pair in FEW is similar enough, at most TURNS times; both decide how many pairs are left to be looked at, not which are found.
+TURNS, FEW = 8, 16
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -132,19 +135,64 @@ def fit() -> Column:
     return enough(most, F.col("n_a"), F.col("n_b"))
 
 
+def drawn(tied: DataFrame, turn: int) -> DataFrame:
+    """Pairs of sets (a, b): of the sets with a common first shingle, each with one that is drawn by a hash, anew for each
+    shingle and turn, if it has another root. So a set meets as many of a group as it has first shingles, however large the
+    group is. tied: x, name, n, at, root."""
+    draw = F.xxhash64("name", "x", F.lit(turn)).alias("draw")
+    head = tied.groupBy("x").agg(F.min(F.struct(draw, "name", "n", "at", "root")).alias("head"))
+    met = tied.join(head, "x").where("root != head.root").select("name", F.col("head.name").alias("other"), F.col("n").alias("n_a"), F.col("head.n").alias("n_b"), F.col("at").alias("at_a"), F.col("head.at").alias("at_b"))
+    return met.where(fit()).select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b"))
+
+
+def hopeful(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """The distinct pairs of sets (a, b) whose parities are near."""
+    a, b = (groups.select(F.col("name").alias(s), F.col("n").alias(f"n_{s}"), F.col("parity").alias(f"parity_{s}")) for s in "ab")
+    both = pairs.distinct().join(a, "a").join(b, "b")
+    return both.where(near_parity(F.col("parity_a"), F.col("parity_b"), F.col("n_a"), F.col("n_b"))).select("a", "b")
+
+
+def opened(tied: DataFrame) -> DataFrame:
+    """The rows of tied whose shingle has sets of two roots or more."""
+    return tied.join(tied.groupBy("x").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("x"), "x", "left_semi")
+
+
 def untied(tied: DataFrame, groups: DataFrame) -> DataFrame:
     """Pairs of sets (a, b, n_a, n_b) of different roots with a common first shingle, once for each, that can be similar
-    enough by its places and their parities. tied: x, name, n, at, root."""
-    open = tied.groupBy("x").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("x")
-    open = written(tied.join(open, "x", "left_semi").join(groups.select("name", "parity"), "name"), "open")
-    a, b = (open.select("x", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "at", "root", "parity"))) for s in "ab")
-    apart = (F.col("name_a") < F.col("name_b")) & (F.col("root_a") != F.col("root_b")) & fit()
+    enough by its places and their parities. The sets of a shingle's commonest root are met by the others only, not by each
+    other. tied: x, name, n, at, root."""
+    counted = tied.groupBy("x", "root").agg(F.count("*").alias("many")).groupBy("x").agg(F.max(F.struct("many", "root")).alias("main"), F.count("*").alias("roots"))
+    open = tied.join(counted.where("roots > 1").select("x", F.col("main.root").alias("main")), "x")
+    open = written(open.join(groups.select("name", "parity"), "name"), "open")
+    a, b = (open.select("x", *(F.col(c).alias(f"{c}_{s}") for c in ("name", "n", "at", "root", "parity", "main"))) for s in "ab")
+    apart = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main_b")) | (F.col("name_a") < F.col("name_b"))) & fit()
     near = near_parity(F.col("parity_a"), F.col("parity_b"), F.col("n_a"), F.col("n_b"))
-    out = written(a.join(b, "x").where(apart & near).select(F.col("name_a").alias("a"), F.col("name_b").alias("b"), "n_a", "n_b"), "untied")
+    found = a.where("root_a != main_a").join(b, "x").where(apart & near)
+    turned = F.col("name_a") > F.col("name_b")
+    ends = (F.when(turned, F.col(f"{c}_{t}")).otherwise(F.col(f"{c}_{s}")).alias(to) for c, s, t, to in (("name", "a", "b", "a"), ("name", "b", "a", "b"), ("n", "a", "b", "n_a"), ("n", "b", "a", "n_b")))
+    out = written(found.select(*ends), "untied")
     forget(open)
     return out
 
 
+def tie(pairs: DataFrame, comp: DataFrame | None, groups: DataFrame, rows: DataFrame) -> tuple[DataFrame, int]:
+    """node and root after those of the pairs (a, b) that are similar enough are tied too, and how many are."""
+    found = verified(pairs, groups, rows)
+    known = found if comp is None else found.unionByName(comp.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+    whole = components(known)
+    out, many = written(whole, "roots"), found.count()
+    forget(found, whole, *([] if comp is None else [comp]))
+    return out, many
+
+
+def rooted(tied: DataFrame, comp: DataFrame) -> DataFrame:
+    """tied with the roots of comp, without the shingles whose sets all have one root."""
+    now = written(tied.drop("root").join(comp, F.col("name") == F.col("node"), "left").select("x", "name", "n", "at", F.coalesce("root", "name").alias("root")), "tied")
+    out = written(opened(now), "open")
+    forget(now, tied)
+    return out
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, of which one of each group tied by similarity stays: the least."""
     rows = ids_and_texts(docs).withColumn("key", row_key())
@@ -156,23 +204,24 @@ def keep_one(docs: DataFrame) -> DataFrame:
     near = near_fingerprints(groups)
     sweep(docs.sparkSession)
     entries = groups.select("name", "n", F.posexplode("first").alias("at", "x"))
-    held = entries.groupBy("x").agg(F.min(F.struct("name", "n", "at")).alias("head"), F.count("*").alias("many")).where("many > 1").select("x", "head")
-    entries = written(entries.join(held, "x"), "entries")
-    heads = entries.where("name > head.name").select(F.col("head.name").alias("a"), F.col("name").alias("b"), F.col("head.n").alias("n_a"), F.col("n").alias("n_b"), F.col("head.at").alias("at_a"), F.col("at").alias("at_b"))
-    heads = plausible(heads.where(fit()))
-    star = verified(near.unionByName(heads).distinct(), groups, rows)
-    comp = components(star)
-    roots = written(comp, "roots")
-    del heads, held
-    forget(near, comp)
-    tied = written(entries.join(roots, F.col("name") == F.col("node"), "left").select("x", "name", "n", "at", F.coalesce("root", "name").alias("root")), "tied")
-    forget(entries, roots)
+    held = entries.groupBy("x").agg(F.count("*").alias("many")).where("many > 1").select("x")
+    tied = written(entries.join(held, "x", "left_semi").select("x", "name", "n", "at", F.col("name").alias("root")), "tied")
+    del entries, held
+    comp = None
+    for turn in range(TURNS):
+        pairs = drawn(tied, turn)
+        pairs = written(hopeful(pairs if turn else pairs.unionByName(near), groups), "drawn")
+        met = pairs.count()
+        comp, many = tie(pairs, comp, groups, rows)
+        forget(pairs)
+        tied = rooted(tied, comp)
+        if many * FEW <= met:
+            break
     rest = untied(tied, groups)
-    more = verified(plausible(rest), groups, rows)
-    comp = components(star.unionByName(more))
+    comp, _ = tie(plausible(rest), comp, groups, rows)
     final = groups.join(comp, F.col("name") == F.col("node"), "left").groupBy(F.coalesce("root", "name").alias("root")).agg(F.min("least").alias("least"))
     kept = written(final.select(F.col("least.key").alias("_row_key")), "kept")
-    forget(groups, star, tied, rest, more, comp)
+    forget(groups, near, tied, rest, comp)
     # columns of docs of any name are out of the way in a struct
     whole = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("_row_key"))
     return whole.join(kept, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select("row.*")

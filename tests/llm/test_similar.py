@@ -108,3 +108,32 @@ def test_few_pairs_of_a_group_of_edited_copies(spark):
     assert alike and alike <= got
     # before parities, all that shared a first shingle at a fit place were compared
     assert len(far) > 1000 and len(far & got) * 20 < len(far)
+
+
+def test_large_groups_are_tied_by_drawn_pairs(spark, monkeypatch):
+    """Of a group of near copies few pairs are left to be looked at, not a share of all pairs."""
+    rng = random.Random(7)
+    texts = edited(rng, [f"w{k}" for k in range(150)], 300, 6)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    left, plain = [], similar.untied
+
+    def untied(tied, groups):
+        out = plain(tied, groups)
+        left.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "untied", untied)
+    got = sorted(r.doc_id for r in similar.keep_one(frame).collect())
+    assert got == sorted(i for i, _ in kept(list(enumerate(texts))))
+    # pairs count once for each first shingle in common; 61,431 when all met only the least of each shingle
+    assert len(left) == 1 and left[0] < 20 * len(texts)
+
+
+def test_all_is_found_without_turns(spark, monkeypatch):
+    monkeypatch.setattr(similar, "TURNS", 1)
+    monkeypatch.setattr(similar, "drawn", lambda tied, turn: tied.select(F.col("name").alias("a"), F.col("name").alias("b")).where("false"))
+    monkeypatch.setattr(similar, "near_fingerprints", lambda groups: similar.written(groups.select(F.col("name").alias("a"), F.col("name").alias("b")).where("false")))
+    rng = random.Random(8)
+    texts = edited(rng, [f"w{k}" for k in range(150)], 40, 8) + edited(rng, [f"v{k}" for k in range(60)], 20, 3)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in similar.keep_one(frame).collect()) == sorted(i for i, _ in kept(list(enumerate(texts))))
