@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, chunks, ids_and_texts, map_texts
+from .common import CHUNK_BYTES, chunks, give_back, ids_and_texts, map_texts
 
 PER_LANGUAGE, LANGUAGES, ORDER = 300, 1000, 3
 #: A text of JUNK_BYTES or more is in none of the languages if even the best needs JUNK_BITS bits a byte. Prose needs two to
@@ -201,10 +201,15 @@ def keep_identified(docs: DataFrame, counted: dict[str, tuple[np.ndarray, np.nda
     number, at = uuid.uuid4().hex, docs.columns.index("text")
 
     def run(batches):
-        for batch in chunks(batches):
-            model = model_of(number, sent)
-            texts = batch.column(at).cast(pa.string()).to_pylist()
-            kept = [name != "und" and (bits < junk_bits or len(x.encode()) < JUNK_BYTES) for x, (name, _, bits) in zip(texts, model.predict(texts), strict=True)]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+        batch = texts = None
+        try:
+            for batch in chunks(batches):
+                model = model_of(number, sent)
+                texts = batch.column(at).cast(pa.string()).to_pylist()
+                kept = [name != "und" and (bits < junk_bits or len(x.encode()) < JUNK_BYTES) for x, (name, _, bits) in zip(texts, model.predict(texts), strict=True)]
+                yield batch.filter(pa.array(kept, pa.bool_()))
+        finally:
+            del batch, texts
+            give_back()
 
     return docs.mapInArrow(run, docs.schema)

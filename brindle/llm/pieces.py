@@ -55,6 +55,9 @@ class Paths(dict):
             self[part] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+
 
 class Fits(dict):
     """Whether two pieces, by id, are merge-consistent neighbours; all are forgotten when there are PAIRS."""
@@ -238,4 +241,5 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.bool_()]
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=["doc_id", "n_pieces", "n_bytes_pieces", "ids", "ids_sha256", "decoded", "round_trip"])
 
-    return map_texts(ids_and_texts(docs), each, SCHEMA)
+    # a worker that has paths of one partition in mind would hold them while other stages run
+    return map_texts(ids_and_texts(docs), each, SCHEMA, after=lambda: transducer(model).known.forget())

@@ -457,3 +457,15 @@ def test_texts_are_parted_fast_and_alike():
         return min(took)
 
     assert seconds(fst.parts) * 1.3 < seconds(plain)
+
+
+def test_workers_forget_paths_after_a_partition(spark, docs):
+    path, rows = tokenizer("piece_bpe_32k.model"), docs.select("doc_id", "text").coalesce(1)
+    assert pieces.encode(rows, path).collect()
+
+    def held(batches):
+        import pyarrow as pa
+
+        yield from (pa.RecordBatch.from_pydict({"n": [len(pieces.transducer(path).known)]}) for _ in [list(batches)])
+
+    assert [r.n for r in rows.mapInArrow(held, "n long").collect()] == [0]
