@@ -10,8 +10,9 @@ ends at a position, and an arc costs nothing if it is merge-consistent with that
 merging their joint letters (the best score first, of equal ones the leftmost) ends in just these two. A path is what
 merging gives the whole text exactly if all its neighbours are consistent, as the first merge over a border would be made
 for the two pieces alone too. So one arc of finite weight ends at each position, and the shortest path is SentencePiece's
-own encoding. No piece holds U+2581 after another letter, so the lattice falls apart before each run of them; the parts'
-paths are remembered. Decoding maps pieces and bytes back.
+own encoding. The lattice is composed as far as it is searched: depth first, the longest arcs first, and a position from
+which no finite path goes on is not entered again, as only one leads to it. No piece holds U+2581 after another letter, so
+the lattice falls apart before each run of them; the parts' paths are remembered. Decoding maps pieces and bytes back.
 
 Edge cases: null and empty texts have no pieces and decode to the empty text; repeated rows are kept; null ids are kept;
 further columns are ignored by encode; U+2581 in a text is read as a space, as the model has it; an empty table gives an
@@ -22,43 +23,61 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 from math import inf
-from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ids_and_texts, map_texts
+from .common import ids_and_texts, map_texts, sums
 
 SPACE = "▁"
-CACHE, LONG, PAIRS = 200_000, 64, 500_000
+CACHE, LONG, PAIRS = 400_000, 64, 300_000
 SCHEMA = "doc_id long, n_pieces long, n_bytes_pieces long, ids array<int>, ids_sha256 string, decoded string, round_trip boolean"
 
 
 class Paths(dict):
-    """Paths of parts met before; those of long parts are not kept, and all are forgotten when there are CACHE."""
+    """Paths of parts met before; those of long parts are not kept. Of CACHE, those that were not met again while half as
+    many others were go."""
 
     def __init__(self, find: Callable[[str], tuple[int, ...]]):
         super().__init__()
-        self.find = find
+        self.find, self.before = find, {}
 
     def __missing__(self, part: str) -> tuple[int, ...]:
-        ids = self.find(part)
+        ids = self.before.pop(part, None) or self.find(part)
         if len(part) <= LONG:
-            if len(self) >= CACHE:
+            if len(self) >= CACHE // 2:
+                self.before = dict(self)
                 self.clear()
             self[part] = ids
         return ids
 
     def forget(self) -> None:
+        self.before = {}
         self.clear()
 
 
+class Arcs(dict):
+    """The arcs that begin with letters which lead on in the automaton, by these letters: length and id, the longest first.
+    A letter that leads nowhere has one arc, that of byte fallback, told by a number below -1."""
+
+    def __init__(self, ids: dict[str, int]):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, head: str) -> list[tuple[int, int]]:
+        found = [(k, self.ids[head[:k]]) for k in range(len(head), 0, -1) if head[:k] in self.ids]
+        if not found:
+            return [(1, -2 - ord(head))]
+        self[head] = found
+        return found
+
+
 class Fits(dict):
     """Whether two pieces, by id, are merge-consistent neighbours; all are forgotten when there are PAIRS."""
 
@@ -134,26 +153,32 @@ class Transducer:
         usable = [i for i in range(len(model)) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         if any(SPACE in p.lstrip(SPACE) for p in map(self.pieces.__getitem__, usable)):
             raise ValueError("a piece goes on after a space; texts cannot be parted before spaces")
-        # every arc of pieces, found in one pass over a text: its length and ids
-        self.automaton, self.score = ahocorasick.Automaton(), {}
+        # the automaton tells how far letters lead
+        self.automaton, self.score, ids = ahocorasick.Automaton(ahocorasick.STORE_LENGTH), {}, {}
         for i in usable:
-            self.score[self.pieces[i]] = model.get_score(i)
-            self.automaton.add_word(self.pieces[i], (len(self.pieces[i]), (i,)))
-        self.automaton.make_automaton()
+            self.score[self.pieces[i]], ids[self.pieces[i]] = model.get_score(i), i
+            self.automaton.add_word(self.pieces[i])
+        self.arcs, self.longest = Arcs(ids), max(map(len, ids), default=1)
         # a letter that is a piece is never its bytes
-        self.letters = frozenset(x for x in self.score if len(x) == 1)
-        if not all(map(self.letters.issuperset, self.score)):
+        letters = frozenset(x for x in self.score if len(x) == 1)
+        if not all(map(letters.issuperset, self.score)):
             raise ValueError("a piece holds a letter that is none; its bytes could not be told from the letter in merging")
         self.known, self.fits, self.grown = Paths(self.path), Fits(self.consistent), {}
         # by id: the bytes it stands for, its number in decimal and whether it is a byte's
         self.raw = [bytes([self.of_byte[i]]) if i in self.of_byte else p.encode() for i, p in enumerate(self.pieces)]
         self.decimal = [str(i) for i in range(len(self.pieces))]
         self.is_byte = np.array([i in self.of_byte for i in range(len(self.pieces))])
-        self.parts = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-
-    def by_bytes(self, letter: str) -> tuple[int, tuple[int, ...]]:
-        """The arc of byte fallback."""
-        return 1, tuple(self.bytes[b] for b in letter.encode())
+        self.runs = re.compile(rf"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
+
+    def parts(self, text: str) -> list[str]:
+        """Each run of U+2581 with the letters behind it, up to the next."""
+        if " " in text or not text.startswith(SPACE):
+            return self.runs(text)
+        # no space is in the text, so that they can be put before each U+2581 and taken away again within runs
+        apart = text.replace(SPACE, " " + SPACE)
+        while (double := f"{SPACE} {SPACE}") in apart:
+            apart = apart.replace(double, SPACE + SPACE)
+        return apart[1:].split(" ")
 
     def growth(self, i: int) -> list[tuple[float, str, str]] | None:
         """The merges that make a piece of its letters, in order: the score of each and the first and the last symbol after it.
@@ -172,7 +197,7 @@ class Transducer:
     def consistent(self, a: int, b: int) -> bool:
         """Whether merging the letters of both pieces ends in these two: until both are made, no merge over their border comes first.
         Bytes are of letters that nothing merges with."""
-        alone = a < 0 or a in self.of_byte, b in self.of_byte
+        alone = a < 0 or a in self.of_byte, b < 0 or b in self.of_byte
         left, right = ([] if x else self.growth(i) for x, i in zip(alone, (a, b), strict=True))
         if left is None or right is None or any(alone):
             return left is not None and right is not None
@@ -190,28 +215,37 @@ class Transducer:
             else:
                 start, k = right[k][1], k + 1
 
-    def arcs(self, part: str) -> Iterable[tuple[int, tuple[int, tuple[int, ...]]]]:
-        """The composition with a part: where each arc ends (its last letter), its length and ids, by where they end, the longest first."""
-        arcs = self.automaton.iter(part)
-        if not self.letters.issuperset(part):
-            arcs = sorted([*arcs, *((k, self.by_bytes(c)) for k, c in enumerate(part) if c not in self.letters)], key=itemgetter(0))
-        return arcs
-
     def path(self, part: str) -> tuple[int, ...]:
         """The ids on the shortest path: the one whose neighbours are all merge-consistent."""
-        n, fits = len(part), self.fits
-        back: list[tuple[int, tuple[int, ...]] | None] = [None] * (n + 1)
-        last: list[int | None] = [-1] + [None] * n
-        for end, arc in self.arcs(part):
-            end += 1
-            if last[end] is None and fits[last[end - arc[0]], arc[1][0]]:
-                back[end], last[end] = arc, arc[1][-1]
-        out: list[tuple[int, ...]] = []
-        while n:
-            length, ids = back[n]
-            n -= length
-            out.append(ids)
-        return tuple(chain.from_iterable(reversed(out)))
+        n, fits, begin, reach, longest = len(part), self.fits, self.arcs, self.automaton.longest_prefix, self.longest
+        out: list[int] = []
+        # for each arc of the path, where it begins and which arcs are left there
+        taken: list[tuple[int, Iterator[tuple[int, int]]]] = []
+        dead: set[int] = set()
+        at, last, spelt = 0, -1, False
+        while at < n:
+            k = reach(part[at : at + longest])
+            if not k:
+                k, spelt = 1, True
+            arcs = iter(begin[part[at : at + k]])
+            while True:
+                for k, arc in arcs:
+                    if fits[last, arc] and at + k not in dead:
+                        break
+                else:
+                    # nothing goes on from here: the arc that led here was not the one
+                    dead.add(at)
+                    at, arcs = taken.pop()
+                    out.pop()
+                    last = out[-1] if out else -1
+                    continue
+                break
+            taken.append((at, arcs))
+            out.append(arc)
+            at, last = at + k, arc
+        if spelt:
+            out = [i for arc in out for i in ([arc] if arc >= 0 else map(self.bytes.__getitem__, chr(-2 - arc).encode()))]
+        return tuple(out)
 
     def encode(self, text: str | None) -> list[int]:
         return list(chain.from_iterable(map(self.known.__getitem__, self.parts(self.normal(text or "")))))
@@ -231,15 +265,15 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         fst = transducer(model)
-        out = [[] for _ in range(6)]
-        for text in batch.column(1).to_pylist():
-            ids = fst.encode(text)
-            places, back = np.array(ids, np.int32), fst.decode(ids)
-            same = back == (text or "").replace(SPACE, " ")
-            for column, value in zip(out, (len(ids), int(np.count_nonzero(fst.is_byte[places])), places, hashlib.sha256(",".join(map(fst.decimal.__getitem__, ids)).encode()).hexdigest(), back, same), strict=True):
-                column.append(value)
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.bool_()]
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(out, kinds, strict=True))], names=["doc_id", "n_pieces", "n_bytes_pieces", "ids", "ids_sha256", "decoded", "round_trip"])
+        texts = batch.column(1).to_pylist()
+        found = [fst.encode(x) for x in texts]
+        at = np.cumsum([0, *map(len, found)])
+        places = np.fromiter(chain.from_iterable(found), np.int32, at[-1])
+        digests = [hashlib.sha256(",".join(map(fst.decimal.__getitem__, ids)).encode()).hexdigest() for ids in found]
+        decoded = [fst.decode(ids) for ids in found]
+        same = [back == (text or "").replace(SPACE, " ") for back, text in zip(decoded, texts, strict=True)]
+        columns = [pa.array(np.diff(at), pa.int64()), pa.array(sums(fst.is_byte[places].astype(np.int64), at), pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(places)), pa.array(digests, pa.string()), pa.array(decoded, pa.string()), pa.array(same, pa.bool_())]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_pieces", "n_bytes_pieces", "ids", "ids_sha256", "decoded", "round_trip"])
 
     # a worker that has paths of one partition in mind would hold them while other stages run
     return map_texts(ids_and_texts(docs), each, SCHEMA, after=lambda: transducer(model).known.forget())

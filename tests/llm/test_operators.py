@@ -469,3 +469,17 @@ def test_workers_forget_paths_after_a_partition(spark, docs):
         yield from (pa.RecordBatch.from_pydict({"n": [len(pieces.transducer(path).known)]}) for _ in [list(batches)])
 
     assert [r.n for r in rows.mapInArrow(held, "n long").collect()] == [0]
+
+
+def test_paths_are_found_with_fewer_arcs_than_letters():
+    fst, looked = pieces.Transducer(tokenizer("piece_bpe_32k.model")), []
+
+    class Counted(dict):
+        def __getitem__(self, pair):
+            looked.append(pair)
+            return fst.consistent(*pair)
+
+    fst.fits = Counted()
+    words = ["▁einberach,", "▁Thesthat", "▁whatnt.\nOf", "▁international", "▁schauheitbe", "▁oringstea", "▁漢字x", "▁wasereresha"]
+    assert "".join(fst.decode(fst.path(x)) for x in words) == "".join(words).replace("▁", "")
+    assert len(looked) < sum(map(len, words))
