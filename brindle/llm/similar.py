@@ -17,6 +17,8 @@ repeated; further columns are kept. Shingles, sets and rows are told by 64-bit h
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -44,14 +46,15 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64).view(np.int64))
 
 
-def hashed(rows: DataFrame) -> DataFrame:
-    """key and shingles of each of the rows (doc_id, text, key)."""
+def hashed(rows: DataFrame, kept: str = "key binary") -> DataFrame:
+    """The column that `kept` declares and the shingles of each of the rows, which have it and text."""
+    name = kept.split(" ")[0]
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = pa.array([shingles(x) for x in batch.column(1).to_pylist()], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(2), sets], names=["key", "shingles"])
+        sets = pa.array([shingles(x) for x in batch.column("text").to_pylist()], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(name), sets], names=[name, "shingles"])
 
-    return map_texts(rows, each, "key binary, shingles array<long>")
+    return map_texts(rows.select("text", name), each, f"{kept}, shingles array<long>")
 
 
 def common(rows: DataFrame) -> np.ndarray:
@@ -116,16 +119,34 @@ def plausible(pairs: DataFrame) -> DataFrame:
     return counted.where(enough(F.col("shared") + rest, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
-def verified(pairs: DataFrame, groups: DataFrame, rows: DataFrame) -> DataFrame:
-    """Those of the pairs of sets (a, b) that are similar enough, by their shingles."""
-    pairs = written(pairs, "pairs")
+def shingled(pairs: DataFrame, groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """name and shingles of the sets that the pairs (a, b) name. Rows that repeat an id and text are one before they meet
+    the names, and the shingles stay where their text was: texts are dealt once, shingles not at all."""
     names = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "name")
     keys = groups.join(names, "name").select("name", F.col("least.key").alias("key"))
-    held = rows.join(keys.select("key"), "key", "left_semi").select("doc_id", "text", "key")
-    sets = written(hashed(held).dropDuplicates(["key"]).join(keys, "key").select("name", "shingles"), "sets")
-    both = pairs.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")), "b")
-    out = written(both.where(enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "similar")
-    forget(pairs, sets)
+    return written(hashed(rows.select("text", "key").dropDuplicates(["key"]).join(keys, "key"), "name long"), "sets")
+
+
+def verified(pairs: DataFrame, groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """Those of the pairs of sets (a, b) that are similar enough, by their shingles. A pair carries the shingles of one set
+    to the other, so the pairs are taken in parts of about as many pairs as there are sets: the disk that a part needs grows
+    with the sets, however many pairs there are. What a step has shuffled goes before the next one."""
+    pairs = written(pairs, "pairs")
+    sets = shingled(pairs, groups, rows)
+    sweep(pairs.sparkSession)
+    parts = max(1, -(-pairs.count() // max(1, sets.count())))
+    found = []
+    for part in range(parts):
+        some = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == part)
+        both = some.join(sets.select(F.col("name").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("name").alias("b"), F.col("shingles").alias("y")), "b")
+        found.append(written(both.where(enough(F.size(F.array_intersect("x", "y")), F.size("x"), F.size("y"))).select("a", "b"), "similar"))
+        del some, both
+        sweep(pairs.sparkSession)
+    if parts == 1:
+        out, found = found[0], []
+    else:
+        out = written(reduce(DataFrame.unionByName, found), "similar")
+    forget(pairs, sets, *found)
     return out
 
 
@@ -207,6 +228,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     held = entries.groupBy("x").agg(F.count("*").alias("many")).where("many > 1").select("x")
     tied = written(entries.join(held, "x", "left_semi").select("x", "name", "n", "at", F.col("name").alias("root")), "tied")
     del entries, held
+    whole, groups = groups, written(groups.select("name", "least", "n", "parity"), "groups")
+    forget(whole)
     comp = None
     for turn in range(TURNS):
         pairs = drawn(tied, turn)

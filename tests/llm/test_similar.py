@@ -1,6 +1,7 @@
 """The pipeline's near-dedup stage against brute-force Jaccard."""
 
 import random
+import time
 
 import corpus_pipeline
 import numpy as np
@@ -137,3 +138,43 @@ def test_all_is_found_without_turns(spark, monkeypatch):
     texts = edited(rng, [f"w{k}" for k in range(150)], 40, 8) + edited(rng, [f"v{k}" for k in range(60)], 20, 3)
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in similar.keep_one(frame).collect()) == sorted(i for i, _ in kept(list(enumerate(texts))))
+
+
+def test_disk_of_comparing_grows_with_the_sets(spark, monkeypatch):
+    """Shuffle files of a step are gone before the next one, texts are dealt once, and no join takes more pairs than there are sets."""
+    rng = random.Random(9)
+    texts = edited(rng, [f"w{k}" for k in range(90)], 40, 4)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = frame.withColumn("key", F.unhex(F.md5("text")))
+    groups = similar.written(similar.leads(rows).select("name", "n", F.struct("key").alias("least")))
+    names = sorted(r.name for r in groups.select("name").collect())
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names if a < b], "a long, b long")
+
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f.getName().split("_")[1] for f in (files.apply(k) for k in range(files.size())) if f.getName().startswith("shuffle_")}
+
+    similar.sweep(spark)
+    seen, made, plain = [], set(), similar.written
+
+    def written(df, name="table"):
+        until = time.time() + 5
+        while made & shuffles() and time.time() < until:
+            time.sleep(0.1)
+        seen.append((name, made & shuffles(), df._jdf.queryExecution().executedPlan().toString()))
+        out = plain(df, name)
+        if name != "pairs":
+            made.update(shuffles() - before)
+        return out
+
+    time.sleep(1)
+    before = shuffles()
+    monkeypatch.setattr(similar, "written", written)
+    got = {tuple(r) for r in similar.verified(pairs, groups, rows).collect()}
+    of = {r.name: set(similar.shingles(texts[r.doc_id]).tolist()) for r in similar.leads(rows).select("name", "doc_id").collect()}
+    assert got == {(a, b) for a in names for b in names if a < b and 5 * len(of[a] & of[b]) >= 4 * len(of[a] | of[b])} and got
+    (sets,) = (x for x in seen if x[0] == "sets")
+    assert not [x for x in sets[2].split("MapInArrow")[0].splitlines() if "Exchange" in x]
+    parts = [x for x in seen if x[0] == "similar"]
+    assert made and not any(x[1] for x in parts)
+    assert (len(parts) - 1) * len(names) >= pairs.count()
